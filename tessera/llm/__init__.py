@@ -10,6 +10,7 @@ import importlib
 
 MODULES = (
     "near_dedup",
+    "bpe",
 )
 
 
