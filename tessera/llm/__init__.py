@@ -11,6 +11,8 @@ import importlib
 MODULES = (
     "near_dedup",
     "bpe",
+    "quality_rules",
+    "decontaminate",
 )
 
 
