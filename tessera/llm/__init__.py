@@ -11,6 +11,7 @@ import importlib
 MODULES = (
     "near_dedup",
     "bpe",
+    "secrets",
     "quality_rules",
     "decontaminate",
 )
