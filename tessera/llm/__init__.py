@@ -9,6 +9,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "pii",
     "near_dedup",
     "bpe",
     "secrets",
