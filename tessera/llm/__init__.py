@@ -9,6 +9,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "quality_cnn",
     "language_id",
     "pii",
     "near_dedup",
