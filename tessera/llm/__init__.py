@@ -9,6 +9,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "html_text",
     "quality_cnn",
     "language_id",
     "pii",
