@@ -9,6 +9,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "lm_scoring",
     "html_text",
     "quality_cnn",
     "language_id",

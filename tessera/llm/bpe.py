@@ -29,6 +29,11 @@ _NEVER = np.int64(2**40)
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
 
+def split_words(text: str) -> list[str]:
+    """The words that tokens don't cross; special strings count as ordinary text."""
+    return _WORD.findall(text)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
