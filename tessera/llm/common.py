@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch are worked on in slices of about this many bytes.
 SLICE_BYTES = 8 << 20
@@ -47,6 +48,24 @@ def delete_shared(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of the bitmap of maybe_in; 32 kbit a row, so its broadcast has 8 MB at most.
+BITMAP_BITS = 1 << 26
+
+
+def maybe_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among ``ids`` (one column): all that are,
+    and some others.  Saves shuffling the others' texts in the join that follows.
+    What is broadcast is a bitmap of fixed size, whatever the number of ids."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS)) + 1
+    own = ids.select(bit(F.col(ids.columns[0])).alias("_bit"))
+    rows = own.groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bits"))
+    at = F.bitmap_bit_position("_bit")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = df.withColumn("_bit", bit(F.col(column))).withColumn("_bucket", F.bitmap_bucket_number("_bit"))
+    found = marked.join(F.broadcast(rows), "_bucket").where(F.getbit(byte, (at % 8).cast("int")) == 1)
+    return found.select(*df.columns)
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about SLICE_BYTES of ``column``, so that a batch of
     very long texts isn't held several times over."""

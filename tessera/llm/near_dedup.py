@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import delete_shared, slices, table, write_shared
+from tessera.llm.common import delete_shared, maybe_in, slices, table, write_shared
 
 WORDS = 5
 COORDS = 32
@@ -136,6 +136,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _texts(keys: DataFrame, docs: DataFrame) -> DataFrame:
     """``keys`` (with column doc) with the text of doc."""
+    docs = maybe_in(docs, "doc_id", keys.select("doc"))
     return keys.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
 
 
@@ -217,13 +218,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = write_shared(docs.mapInArrow(_signed, "doc_id long, n_shingles long, digest string, tokens array<long>"), "signed")
-    first = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    # The sides of joins on keys that may be hot are tables: then Spark can split a hot key.
+    first = write_shared(signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id")), "first")
     classes = write_shared(signed.select("doc_id", "n_shingles", "digest").join(first, "digest"), "classes").select("doc_id", "n_shingles", "class_id")
     heads = first.select(F.col("class_id").alias("doc_id"), F.col("digest"))
     heads = signed.join(heads, ["doc_id", "digest"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("doc"), "n_shingles", "tokens")
 
     posted = heads.select("doc", F.explode("tokens").alias("token"))
-    often = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    often = write_shared(posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "often")
     shared = posted.join(often, "token").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("own"), F.sum("n").alias("central"))
     reach = COORDS - MIN_MATCHES + 1 - (COORDS - F.size("own"))
     shared = shared.where(reach > 0).select("doc", "central", reach.alias("n_prefix"), F.col("own.token").alias("tokens"))
@@ -231,7 +233,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     lists = shared.select("doc", "n_shingles", "central", F.explode(F.slice("tokens", 1, F.col("n_prefix"))).alias("token"))
     hubs = lists.groupBy("token").agg(F.count("*").alias("n"), F.max(F.struct("central", -F.col("doc"), "n_shingles")).alias("hub")).where("n > 1")
-    hubs = hubs.select("token", (-F.col("hub.col2")).alias("hub"), F.col("hub.n_shingles").alias("hub_size"))
+    hubs = write_shared(hubs.select("token", (-F.col("hub.col2")).alias("hub"), F.col("hub.n_shingles").alias("hub_size")), "hubs")
     fits = 100 * F.least("n_shingles", "hub_size") >= PERCENT * F.greatest("n_shingles", "hub_size")
     stars = write_shared(lists.join(hubs, "token").where(F.col("doc") != F.col("hub")).where(fits).select("hub", "doc").distinct(), "stars")
     chunks = stars.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n"))
@@ -245,7 +247,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = placed.select("doc", "n_shingles", "n_prefix", "tokens", "component")
     mixed = placed.select("component", F.explode(F.slice("tokens", 1, F.col("n_prefix"))).alias("token"))
     mixed = mixed.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = mixed.where("lo <> hi").select("token", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
+    mixed = write_shared(mixed.where("lo <> hi").select("token", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")), "mixed")
     tiles = placed.withColumn("token", F.explode(F.slice("tokens", 1, F.col("n_prefix")))).join(mixed, "token")
     tiles = tiles.withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = tiles.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "component", "n_shingles", "n_prefix", "tokens")
