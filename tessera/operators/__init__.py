@@ -1 +1 @@
-
+"""Relational, search and mutation operators over DataFrames."""
