@@ -46,7 +46,7 @@ C.sql("window_values", f"SELECT {_K}, first_value(o_totalprice) OVER w AS first_
 C.sql("window_running", f"SELECT {_K}, round(sum(o_totalprice) OVER w, 2) AS running, count(*) OVER w AS n FROM {{orders}} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)")
 C.sql("window_range_peers", f"SELECT {_K}, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderstatus RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peers FROM {{orders}}")
 C.sql("window_whole", f"SELECT {_K}, round(avg(o_totalprice) OVER w, 1) AS a, min(o_totalprice) OVER w AS lo, max(o_orderstatus) OVER w AS hi, count(nullif(o_orderstatus, 'F')) OVER w AS n FROM {{orders}} WINDOW w AS (PARTITION BY o_custkey)")
-C.sql("window_moving", f"SELECT {_K}, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 1) AS a FROM {{orders}}")
+C.sql("window_moving", f"SELECT {_K}, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS a FROM {{orders}}")
 C.sql("window_over_aggregate", "SELECT c_nationkey, c_mktsegment, count(*) AS n, rank() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC) AS rk FROM {customer} GROUP BY 1, 2")
 
 
