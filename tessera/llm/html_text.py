@@ -39,6 +39,9 @@ MARKS = re.compile(
     re.IGNORECASE,
 )
 HIDDEN = re.compile(r"""\bhidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_HEADER = re.compile(r"header|masthead", re.IGNORECASE)
+_RAW_END = {name: re.compile(f"</{name}(?:[^>]*>|$)", re.IGNORECASE) for name in RAW}
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)(?:>|(?=<)|\Z)""", re.DOTALL)
 _VALUE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 
@@ -71,9 +74,14 @@ class _Lines:
 def _dropped(name: str, attributes: str, in_article: bool) -> bool:
     if name in DROPPED and not (in_article and name == "header"):
         return True
-    if not attributes:
+    if not attributes or name in ("html", "body", "main"):
         return False
-    return any(MARKS.search(v) for m in _VALUE.finditer(attributes) for v in m.groups() if v) or bool(HIDDEN.search(attributes))
+    for m in _VALUE.finditer(attributes):
+        value = _CAMEL.sub("-", next((v for v in m.groups() if v), ""))
+        # An article's own header has its title.
+        if MARKS.search(_HEADER.sub("", value) if in_article or name == "article" else value):
+            return True
+    return bool(HIDDEN.search(attributes))
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
@@ -81,7 +89,6 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     element and those opened since, so that unclosed ones do no harm."""
     out, stack, at, articles = _Lines(), [], 0, 0
     # A stack entry: (name, dropped, article number outside it).
-    low = page.lower()
     drops = links = 0
     for m in iter(lambda: _TOKEN.search(page, at), None):
         if m.start() > at and not drops:
@@ -95,10 +102,8 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         elif name == "br" and not drops:
             out.text(" ", False)
         if name in RAW and not closing:
-            end = low.find(f"</{name}", at)
-            at = len(page) if end < 0 else end
-            stop = page.find(">", at)
-            at = len(page) if stop < 0 else stop + 1
+            end = _RAW_END[name].search(page, at)
+            at = end.end() if end else len(page)
             if not drops:
                 out.gap()
         elif closing:

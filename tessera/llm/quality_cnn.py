@@ -107,7 +107,7 @@ class Network:
 def train(docs: DataFrame, labels: DataFrame) -> Network:
     """Fit on at most SAMPLE labelled documents; at most SAMPLE_CHUNKS chunks of each
     come to the driver (8 MB in all)."""
-    marked = labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality").dropDuplicates(["doc_id"])
+    marked = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     spare = F.greatest(F.octet_length(data) - CHUNK, F.lit(0)) + 1
@@ -139,7 +139,7 @@ def _scored(network: Network):
 def score(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:
     """Return (doc_id, score) for each row of ``docs`` (doc_id, text), the probability of
     label 1 by the network trained on ``labelled`` (doc_id, text) and ``labels``
-    (doc_id, quality; first of a repeated doc_id); other columns are ignored.
+    (doc_id, quality; the least of a repeated doc_id); other columns are ignored.
 
     Null texts count as empty ones, which get the score of a chunk of filling.  With
     nothing labelled the network is untrained.  Rows are independent; an empty table

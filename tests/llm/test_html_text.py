@@ -26,6 +26,12 @@ def test_without_article_tags():
     assert ht.main_text(f"<body>{nav}<div><h1>Head</h1>{body}</div><div class=footer>(c) we</div></body>").split("\n")[:2] == ["Head", "Paragraph 0 of the text has some words in it, as texts do."]
 
 
+def test_marks():
+    page = """<body class="has-sidebar"><div id="siteHeader">Top</div><div class="content-sidebar-wrap"><main><div class="post-header"><h1>İ Title</h1></div><p>Text.</p>
+    <SCRIPT>x</SCRIPT ><p class="admonition">Add on.</p><section class="readerComments"><p>Nice!</p></section><div style="display:none">no</div></main></div></body>"""
+    assert ht.main_text(page).split("\n") == ["İ Title", "Text.", "Add on."]
+
+
 def test_small_scale_pages(spark):
     """The pages' articles are marked, so that a plain cut gives their text."""
     rows = {r.page_id: r for r in ht.op3(spark, "/root/testdata/sf0.01").collect()}
