@@ -17,7 +17,7 @@ from tessera.llm import bpe, decontaminate, language_id, near_dedup, secrets
 from tessera.llm.common import table, write_shared
 
 #: Share of a mean word's likelihood below which a document has no clear language.
-LEAST_LANGUAGE_SCORE = 0.3
+LEAST_LANGUAGE_SCORE = 0.26
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
