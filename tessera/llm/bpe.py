@@ -13,7 +13,8 @@ from __future__ import annotations
 import functools
 import heapq
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,26 @@ from pyspark.sql import functions as F
 from tessera.llm.common import slices, table
 
 #: Words whose tokens a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+#: Words of up to so many bytes are merged by plain rescans, longer ones with a heap.
+SHORT = 48
 _NEVER = np.int64(2**40)
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+#: The same pattern for texts of code points below 256, where the classes are short.
+_LATIN_L, _LATIN_N, _LATIN_S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN_L}]+| ?[{_LATIN_N}]+| ?[^{_LATIN_S}{_LATIN_L}{_LATIN_N}]+|[{_LATIN_S}]+(?![^{_LATIN_S}])|[{_LATIN_S}]+")
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
 def split_words(text: str) -> list[str]:
     """The words that tokens don't cross; special strings count as ordinary text."""
-    return _WORD.findall(text)
+    if text.isascii():
+        return _ASCII.findall(text)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _WORD.findall(text)
+    return _LATIN.findall(text)
 
 
 def default_vocabulary() -> str:
@@ -73,16 +86,20 @@ class Vocabulary:
         order = np.argsort(keys)
         self.size, self.keys = size, keys[order]
         self.key_rank = np.array([r for r, _ in self.merges.values()], np.int64)[order]
-        self.longest = max(map(len, self.bytes_of))
+        # Length of the longest token, by its first three bytes.
+        self.longest: dict[bytes, int] = {}
+        for token in self.id_of:
+            self.longest[token[:3]] = max(self.longest.get(token[:3], 0), len(token))
+        self.decimal = list(map(str, range(size)))
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         for content, i in self.special.items():
             self.bytes_of[i] = content.encode()
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def greedy(self, word: bytes) -> list[int]:
-        out, at, end, id_of = [], 0, len(word), self.id_of
+        out, at, end, id_of, longest = [], 0, len(word), self.id_of, self.longest
         while at < end:
-            stop = min(end, at + self.longest)
+            stop = min(end, at + longest.get(word[at : at + 3], 2))
             while (found := id_of.get(word[at:stop])) is None:
                 stop -= 1
             out.append(found)
@@ -121,6 +138,18 @@ class Vocabulary:
     def exact(self, word: bytes) -> list[int]:
         """Merge by rank, then from left to right."""
         ids = [self.id_of[word[i : i + 1]] for i in range(len(word))]
+        if len(ids) <= SHORT:
+            merges, none = self.merges, (1 << 40, -1)
+            found = [merges.get(p, none) for p in zip(ids, ids[1:])]
+            while found and (best := min(found)) is not none:
+                i = found.index(best)
+                ids[i : i + 2] = [best[1]]
+                del found[i]
+                if i:
+                    found[i - 1] = merges.get((ids[i - 1], ids[i]), none)
+                if i < len(found):
+                    found[i] = merges.get((ids[i], ids[i + 1]), none)
+            return ids
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         heap = [(self.merges[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merges]
         heapq.heapify(heap)
@@ -154,36 +183,55 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+class WordMemory(dict):
+    """What a task remembers of words: ``made(words)`` gives the entries of new ones."""
+
+    def __init__(self, made: Callable[[list[str]], list]) -> None:
+        self.made = made
+
+    def learn(self, cut: list[list[str]]) -> None:
+        """Have an entry for each of these words; forget the others when there are many."""
+        words = set().union(*cut)
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > REMEMBERED:
+            kept = {w: self[w] for w in words if w in self}
+            self.clear()
+            dict.update(self, kept)
+        dict.update(self, zip(new, self.made(new)))
+
+
 def encoder(path: str):
     """The function that mapInArrow runs: doc_id, text to doc_id, ids, decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        ids_of: dict[str, str] = {}
-        bytes_of: dict[str, bytes] = {}
+        special = vocab.special
+
+        def made(words: list[str]) -> list[tuple[str, str]]:
+            coded = vocab.encode_words([w.encode("utf-8", "replace") for w in words if w not in special])
+            each, decimal, bytes_of = iter(coded), vocab.decimal, vocab.bytes_of
+            out = []
+            for w in words:
+                ids = [special[w]] if w in special else next(each)
+                # A word is whole code points, so that words decode one by one.
+                text = b"".join([bytes_of[i] for i in ids]).decode("utf-8", "replace")
+                out.append((",".join([decimal[i] for i in ids]), w if text == w else text))
+            return out
+
+        memory = WordMemory(made)
         for batch in batches:
             for part in slices(batch, "text"):
                 cut = []
                 for text in part.column("text").to_pylist():
                     parts = [text or ""] if vocab.special_pattern is None else vocab.special_pattern.split(text or "")
-                    cut.append([w for k, p in enumerate(parts) for w in ([p] if k % 2 else _WORD.findall(p))])
-                new = list(set().union(*cut) - ids_of.keys())
-                if len(ids_of) + len(new) > REMEMBERED:
-                    ids_of, bytes_of = {}, {}
-                    new = list(set().union(*cut))
-                plain = [w for w in new if w not in vocab.special]
-                coded = vocab.encode_words([w.encode("utf-8", "replace") for w in plain])
-                for w, ids in [*zip(plain, coded), *((w, [vocab.special[w]]) for w in new if w in vocab.special)]:
-                    ids_of[w] = ",".join(map(str, ids))
-                    bytes_of[w] = b"".join([vocab.bytes_of[i] for i in ids])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([",".join(map(ids_of.__getitem__, words)) for words in cut], pa.string()),
-                        pa.array([b"".join(map(bytes_of.__getitem__, words)).decode("utf-8", "replace") for words in cut], pa.string()),
-                    ],
-                    ["doc_id", "ids", "decoded"],
-                )
+                    cut.append([w for k, p in enumerate(parts) for w in ([p] if k % 2 else split_words(p))] if len(parts) > 1 else split_words(parts[0]))
+                memory.learn(cut)
+                ids, texts = [], []
+                for words in cut:
+                    both = list(map(memory.__getitem__, words))
+                    ids.append(",".join([x for x, _ in both]))
+                    texts.append("".join([x for _, x in both]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return run
 
