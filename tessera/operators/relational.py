@@ -47,17 +47,19 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, a
     """keys and ``percentile``: the value of rank round((n - 1) * p) from 0, NULLs aside.
 
     A sketch brackets the answer; only rows inside the bracket, some thousandths of a
-    group, are sorted, so that no group has to fit a task.
+    group, are sorted, so that no group has to fit a task.  Groups of a few thousand
+    rows, where a bracket is narrower than a few ranks, are sorted whole.
     """
     slack = 10 / accuracy
     rows = df.where(F.col(value).isNotNull())
     ends = F.percentile_approx(value, F.array(F.lit(max(0.0, p - slack)), F.lit(min(1.0, p + slack))), accuracy)
+    few = F.col("_n") < 4 / slack
     # groupBy() without keys and a join on none: a constant key serves both.
     names = list(keys)
     if not names:
         rows, names = rows.withColumn("_all", F.lit(1)), ["_all"]
-    stats = rows.groupBy(*names).agg(F.count("*").alias("_n"), ends.alias("_ends"))
-    stats = stats.select(*names, F.floor((F.col("_n") - 1) * p + 0.5).alias("_rank"), F.col("_ends")[0].alias("_lo"), F.col("_ends")[1].alias("_hi"))
+    stats = rows.groupBy(*names).agg(F.count("*").alias("_n"), ends.alias("_ends"), F.min(value).alias("_min"), F.max(value).alias("_max"))
+    stats = stats.select(*names, F.floor((F.col("_n") - 1) * p + 0.5).alias("_rank"), F.when(few, F.col("_min")).otherwise(F.col("_ends")[0]).alias("_lo"), F.when(few, F.col("_max")).otherwise(F.col("_ends")[1]).alias("_hi"))
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in names]
     met = rows.select(*names, F.col(value).alias("_v")).alias("r").join(stats.alias("s"), on=[c for c in same]).select(*[F.col(f"r.{k}").alias(k) for k in names], "_v", "_lo", "_hi", "_rank")
     low = met.groupBy(*names).agg(F.count(F.when(F.col("_v") < F.col("_lo"), 1)).alias("_below"))
