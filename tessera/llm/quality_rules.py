@@ -5,7 +5,8 @@ and of the raw corpus (all documents), give each n-gram a log ratio; a document'
 score is the mean over its n-grams, and a fixed threshold decides.  The units are
 the words' last ``ENDING`` characters, whatever they are, so that what a word ends
 with counts even if nobody has seen the word: n-grams are units and pairs of
-adjacent ones.  DataFrame functions only.
+adjacent ones.  A unit's hash is a polynomial of its code points, a pair's one of its
+units' hashes.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from tessera.llm.common import table, write_shared
 
 ENDING = 3
 BUCKETS = 1 << 16
+#: Constants of the hash: factors for code points and for pairs, and a prime divisor.
+BASE, PAIR, PRIME = 1_114_117, 7_368_787, 2_147_483_647
 #: Labelled documents that the target is fitted on, at most: those of least hash.
 TARGET_DOCUMENTS = 20_000
 #: Added to each bucket's share of a multinomial, in n-grams.
@@ -32,8 +35,18 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def _bucket(*units: Column) -> Column:
-    return F.pmod(F.xxhash64(*units), F.lit(BUCKETS)).cast("int")
+def _unit(word: Column) -> Column:
+    """Polynomial of the code points of the word's last ENDING characters."""
+    unit = F.right(word, F.lit(ENDING))
+    value = F.lit(0).cast("long")
+    for i in range(ENDING):
+        value = value * F.lit(BASE) + F.ascii(F.substring(unit, i + 1, 1))
+    return value
+
+
+def _bucket(value: Column) -> Column:
+    """The value's place among the buckets, by its remainder to a prime."""
+    return (value % F.lit(PRIME) % F.lit(BUCKETS)).cast("int")
 
 
 def _grams(rows: DataFrame) -> DataFrame:
@@ -41,10 +54,8 @@ def _grams(rows: DataFrame) -> DataFrame:
     after the last word); one row of nulls for a document without words."""
     at = F.explode_outer(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1)))
     rows = rows.withColumn("at", at)
-    ending = lambda i: F.substring(F.get("w", i), -ENDING, ENDING)
-    one = F.when(F.col("at").isNotNull(), _bucket(ending(F.col("at"))))
-    pair = F.when(F.col("at") + 1 < F.size("w"), _bucket(ending(F.col("at")), ending(F.col("at") + 1)))
-    return rows.withColumn("one", one).withColumn("pair", pair)
+    rows = rows.withColumn("here", _unit(F.get("w", F.col("at")))).withColumn("next", _unit(F.get("w", F.col("at") + 1)))
+    return rows.withColumn("one", _bucket(F.col("here"))).withColumn("pair", _bucket(F.col("here") % F.lit(PRIME) * F.lit(PAIR) + F.col("next")))
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -127,8 +138,46 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("score")
+
+
+def _oracle() -> str:
+    """The same in DuckDB, with windows compared as they are, not by hash."""
+    space = r"[\x20\x09-\x0D]"
+
+    def unit(w: str) -> str:
+        end = f"right({w}, {ENDING})"
+        code = lambda i: f"CASE WHEN length({end}) >= {i} THEN unicode(substr({end}, {i}, 1)) ELSE 0 END"
+        value = "CAST(0 AS BIGINT)"
+        for i in range(1, ENDING + 1):
+            value = f"({value} * {BASE} + {code(i)})"
+        return value
+
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        l AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0),
+        w AS (SELECT r, doc_id, text, list_filter(string_split_regex(text, '{space}+'), lambda x: x <> '') AS w FROM d),
+        p AS (SELECT r, doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k, len(w) AS n FROM w),
+        u AS (SELECT r, doc_id, k, n, word, {unit("word")} AS here FROM p),
+        q AS (SELECT *, lead(here) OVER (PARTITION BY r ORDER BY k) AS next FROM u),
+        g AS (SELECT r, doc_id, here % {PRIME} % {BUCKETS} AS bucket FROM q
+              UNION ALL SELECT r, doc_id, (here % {PRIME} * {PAIR} + next) % {PRIME} % {BUCKETS} FROM q WHERE next IS NOT NULL),
+        c AS (SELECT bucket, count(*) AS raw, count(*) FILTER (doc_id IN (SELECT doc_id FROM l)) AS target FROM g GROUP BY 1),
+        t AS (SELECT sum(raw) AS r, sum(target) AS t FROM c),
+        x AS (SELECT bucket, CAST(round({SCALE} * ln(((target + {SMOOTHING}) / (t.t + {SMOOTHING * BUCKETS})) / ((raw + {SMOOTHING}) / (t.r + {SMOOTHING * BUCKETS})))) AS BIGINT) AS weight FROM c, t),
+        s AS (SELECT r, sum(weight) / count(*) / {SCALE} AS score FROM g JOIN x USING (bucket) GROUP BY 1),
+        v AS (SELECT r, n, unnest(range(1, n - 3)) AS k, unnest(list_transform(range(1, n - 3), lambda i: list_slice(w.w, i, i + 4))) AS words
+              FROM (SELECT r, w, len(w) AS n FROM w WHERE len(w) >= 5) w),
+        twice AS (SELECT r, words FROM v GROUP BY 1, 2 HAVING count(*) > 1),
+        rep AS (SELECT r, count(DISTINCT pos) AS n_repeat_words FROM (SELECT v.r, unnest(range(k, k + 5)) AS pos FROM v JOIN twice ON v.r = twice.r AND v.words = twice.words) GROUP BY 1),
+        b AS (SELECT w.r, doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                     len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+                     len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+                     coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(score, 0) AS score
+              FROM w LEFT JOIN rep ON w.r = rep.r LEFT JOIN s ON w.r = s.r)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND score >= {THRESHOLD} AS kept FROM b"""
 
 
 QUERIES = {"op9_quality_rules": op9}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op9_quality_rules": _oracle()}
