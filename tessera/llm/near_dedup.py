@@ -273,4 +273,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_near_dedup": op4}
-ORACLE: dict[str, str] = {}
+#: All pairs that share a shingle, by the contract's words; for small tables.
+ORACLE = {
+    "op4_near_dedup": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= {WORDS} THEN list_distinct(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(list_slice(w, i, i + {WORDS - 1}), ' ')))
+                                         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS shingle FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        link AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {PERCENT} * (a.n + b.n - c)),
+        edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+        reach AS (SELECT x AS doc_id, x AS other FROM edge UNION SELECT reach.doc_id, edge.y FROM reach JOIN edge ON reach.other = edge.x)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.least, d.doc_id) AS component_id, coalesce(m.least, d.doc_id) = d.doc_id AS kept
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS least FROM reach GROUP BY 1) m USING (doc_id)""",
+}

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import near_dedup
+from tests.compare import connect, same
 
 SCHEMA = "doc_id long, text string"
 
@@ -50,6 +51,12 @@ def test_tables_of_the_small_scale(spark):
     assert found(docs) == brute(rows)
 
 
+def test_oracle(spark):
+    sf = "/root/testdata/sf0.01"
+    for name, sql in near_dedup.ORACLE.items():
+        same(spark, connect(sf), sf, near_dedup.QUERIES[name], sql)
+
+
 def test_small_tiles_give_the_same(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     whole = found(docs)
