@@ -23,8 +23,8 @@ from tessera.llm.common import slices, table
 WINDOW = 3
 #: Characters in a window that make a surge.
 SURGE = 80
-#: Empty lines that a stripped stretch of markup leaves: a dive needs WINDOW of them.
-GAP = WINDOW
+#: Empty lines that a stripped element leaves: one inside the text makes no dive.
+GAP = 1
 
 #: Fixed lists of element names.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -164,9 +164,6 @@ def kept_lines(lines: list[tuple[str, int, int]]) -> list[str]:
     surging = [r for r in regions if max(sums[r[0] : r[1]]) >= SURGE]
     if not surging or sizes:
         surging = regions if sizes else regions and [max(regions, key=lambda r: sum(lengths[r[0] : r[1]]))]
-    if len(surging) > 1 and not sizes:
-        most = max(sum(lengths[a:b]) for a, b in surging)
-        surging = [(a, b) for a, b in surging if 5 * sum(lengths[a:b]) >= most]
     return [t for a, b in surging for t, *_ in lines[a:b] if t]
 
 

@@ -26,6 +26,12 @@ def test_without_article_tags():
     assert ht.main_text(f"<body>{nav}<div><h1>Head</h1>{body}</div><div class=footer>(c) we</div></body>").split("\n")[:2] == ["Head", "Paragraph 0 of the text has some words in it, as texts do."]
 
 
+def test_dropped_elements_inside_the_text():
+    body = "<p>A paragraph of the text that has a good many words in it, as texts mostly do.</p>" * 3
+    page = f'<nav>Menu</nav><div class="top-banner">x</div><div><h1>Title</h1><div class="share">Share</div>{body}<div class="ad">Buy</div><p>End.</p></div><aside>Side</aside><footer>Foot</footer>'
+    assert ht.main_text(page).split("\n")[0] == "Title" and ht.main_text(page).split("\n")[-1] == "End."
+
+
 def test_marks():
     page = """<body class="has-sidebar"><div id="siteHeader">Top</div><div class="content-sidebar-wrap"><main><div class="post-header"><h1>İ Title</h1></div><p>Text.</p>
     <SCRIPT>x</SCRIPT ><p class="admonition">Add on.</p><section class="readerComments"><p>Nice!</p></section><div style="display:none">no</div></main></div></body>"""
