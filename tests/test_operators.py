@@ -119,3 +119,21 @@ def test_files(spark, tmp_path):
         assert sorted(map(tuple, sources.read(spark, path).select("k", "s").collect())) == sorted(map(tuple, df.collect()))
     with pytest.raises(ValueError):
         sources.read(spark, str(tmp_path / "f.xyz"))
+
+
+def test_json_layouts(spark, tmp_path):
+    import json
+
+    from tessera.sources import json_layouts
+
+    want = [(1, "a"), (2, None)]
+    texts = {
+        "split": {"columns": ["s", "k"], "index": [0, 1], "data": [["a", 1], [None, 2]]},
+        "columns": {"k": {"0": 1, "1": 2}, "s": {"0": "a"}},
+        "index": {"0": {"k": 1, "s": "a"}, "1": {"k": 2, "s": None}},
+    }
+    for layout, text in texts.items():
+        (tmp_path / layout).write_text(json.dumps(text))
+        assert sorted(map(tuple, json_layouts.read(spark, str(tmp_path / layout), layout, "k int, s string").collect())) == want
+    with pytest.raises(ValueError):
+        json_layouts.read(spark, str(tmp_path / "split"), "other", "k int")
