@@ -15,7 +15,7 @@ from tessera.llm.common import table
 
 WINDOW = 10
 #: The set is broadcast up to so many windows (about 200 bytes each), else shuffled.
-BROADCAST_WINDOWS = 1_000_000
+BROADCAST_WINDOWS = 250_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words once A-Z is lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
