@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("basic", "joining", "grouping", "scalars", "search", "changes")
+MODULES = ("basic", "joining", "grouping", "scalars", "search", "changes", "more")
 
 
 def _merged(name: str) -> dict:
