@@ -10,6 +10,7 @@ the forward algorithm; distinct words are scored once and remembered.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ ROUNDS = 3
 #: Pieces are at most so long; words of up to SHORT characters are scored together.
 LONGEST = 10
 SHORT = 40
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Added to each piece's expected count, and the share of a sign without a piece.
 PRIOR = 0.02
 UNKNOWN = 1e-7
@@ -53,6 +54,17 @@ def pieces(path: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(known)}
 
 
+_STARTS: dict[int, tuple[dict, dict[str, int]]] = {}
+
+
+def _starts(known: dict[str, int]) -> dict[str, int]:
+    """The pieces with their numbers, and -1 for what pieces only start with."""
+    held = _STARTS.get(id(known))
+    if held is None or held[0] is not known:
+        held = _STARTS[id(known)] = known, {p[:n]: -1 for p in known for n in range(1, len(p))} | known
+    return held[1]
+
+
 def words_of(text: str | None) -> list[str]:
     return [START + w for w in _WORD.findall((text or "").lower())]
 
@@ -64,22 +76,30 @@ def _by_length(words: list[str], known: dict[str, int]) -> Iterator[tuple[np.nda
     groups: dict[int, list[int]] = {}
     for k, w in enumerate(words):
         groups.setdefault(len(w), []).append(k)
-    get, unknown = known.get, len(known)
+    get, unknown = _starts(known).get, len(known)
+    row = LONGEST + 1
     for length, places in groups.items():
         step = max(1, 400_000 // length)
         for at in range(0, len(places), step):
             part = places[at : at + step]
-            ids = np.full((len(part), length + 1, LONGEST + 1), -1, np.int32)
+            where, found = [], []
             for i, k in enumerate(part):
-                w, own = words[k], ids[i]
-                for end in range(1, length + 1):
-                    for n in range(1, min(end, LONGEST) + 1):
-                        found = get(w[end - n : end])
-                        if found is not None:
-                            own[end, n] = found
-                        elif n == 1:
-                            own[end, 1] = unknown
-            yield np.array(part), ids
+                w, base = words[k], i * (length + 1) * row
+                for start in range(length):
+                    at_end = base + (start + 1) * row + 1
+                    if get(w[start : start + 1], -1) < 0:
+                        where.append(at_end)
+                        found.append(unknown)
+                    for n in range(1, min(length - start, LONGEST) + 1):
+                        piece = get(w[start : start + n])
+                        if piece is None:
+                            break
+                        if piece >= 0:
+                            where.append(at_end + (n - 1) * (row + 1))
+                            found.append(piece)
+            ids = np.full(len(part) * (length + 1) * row, -1, np.int32)
+            ids[where] = found
+            yield np.array(part), ids.reshape(len(part), length + 1, row)
 
 
 def _forward(ids: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,13 +216,15 @@ def _predictor(languages: list[str], p: np.ndarray, path: str):
                 place |= {w: len(table_) + i for i, w in enumerate(new)}
                 if new:
                     table_ = np.concatenate((table_, log_likelihoods(new, known, p)))
+                sizes = np.array([len(words) for words in cut])
+                rows = np.fromiter(map(place.__getitem__, itertools.chain.from_iterable(cut)), np.int64, sizes.sum())
+                sums = np.concatenate((np.zeros((1, p.shape[1])), table_[rows].cumsum(axis=0)))[np.append(0, sizes.cumsum())]
                 said, sure = [], []
-                for words in cut:
+                for words, total in zip(cut, np.diff(sums, axis=0)):
                     if not languages or not any(c.isalpha() for w in words for c in w[1:]):
                         said.append("und")
                         sure.append(0.0)
                         continue
-                    total = table_[np.fromiter(map(place.__getitem__, words), np.int64, len(words))].sum(axis=0)
                     share = np.exp((total - total.max()) / len(words))
                     said.append(languages[int(total.argmax())])
                     sure.append(float(share.max() / share.sum()))
