@@ -24,8 +24,6 @@ from tessera.llm.common import slices, table, write_shared
 #: Buckets of hashed bigrams (a power of two) and the vocabulary's size, rounded up.
 BUCKETS = 1 << 20
 TOKENS = 1 << 16
-#: Labelled documents that the target is counted over, at most: those of least hash.
-TARGET_DOCUMENTS = 20_000
 #: Weight of the bigram share, and what is added to each token's count.
 MIX = 0.6
 PRIOR = 0.1
@@ -40,7 +38,7 @@ def buckets_of(ids: np.ndarray) -> np.ndarray:
 
 
 def _tokenizer(path: str):
-    """doc_id, text, trusted to doc_id, tokens (two bytes each), trusted."""
+    """doc_id, text to doc_id, tokens (two bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
@@ -50,7 +48,7 @@ def _tokenizer(path: str):
                 cut = [split_words(t or "") for t in part.column("text").to_pylist()]
                 memory.learn(cut)
                 tokens = [b"".join(map(memory.__getitem__, words)) for words in cut]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(tokens, pa.binary()), part.column("trusted")], ["doc_id", "tokens", "trusted"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(tokens, pa.binary())], ["doc_id", "tokens"])
 
     return run
 
@@ -72,17 +70,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array(c[own], pa.int64()) for c in counts)], ["key", "background", "target"])
 
 
-def tokenized(docs: DataFrame, labels: DataFrame, path: str) -> DataFrame:
-    """(doc_id, tokens, trusted) of all documents, as a table: texts are cut once."""
-    good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id").distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCUMENTS).withColumn("trusted", F.lit(1))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(good), "doc_id", "left").select("doc_id", "text", "trusted")
-    return write_shared(texts.mapInArrow(_tokenizer(path), "doc_id long, tokens binary, trusted int"), "tokens")
+def tokenized(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, tokens) of all documents, as a table: texts are cut once."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return write_shared(texts.mapInArrow(_tokenizer(path), "doc_id long, tokens binary"), "tokens")
 
 
-def counts(tokens: DataFrame) -> DataFrame:
-    """(key, background, target) over all documents."""
-    own = tokens.select("tokens", "trusted").mapInArrow(_counted, "key long, background long, target long")
+def counts(tokens: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, background, target) over all documents and all trusted ones.  Spark
+    broadcasts the trusted ids while they are few and else shuffles the tokens."""
+    good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    marked = tokens.join(good.withColumn("trusted", F.lit(1)), "doc_id", "left").select("tokens", "trusted")
+    own = marked.mapInArrow(_counted, "key long, background long, target long")
     return own.groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
@@ -130,8 +129,8 @@ def score(docs: DataFrame, labels: DataFrame, path: str | None = None) -> DataFr
     """
     path = path or default_vocabulary()
     spark = docs.sparkSession
-    tokens = tokenized(docs, labels, path)
-    found = write_shared(counts(tokens), "ngrams")
+    tokens = tokenized(docs, path)
+    found = write_shared(counts(tokens, labels), "ngrams")
     count = np.zeros((2, TOKENS + BUCKETS), np.int64)
     for batch in found.toArrow().to_batches():  # at most TOKENS + BUCKETS rows, 25 MB
         count[:, np.asarray(batch.column("key"))] = np.stack([np.asarray(batch.column(c)) for c in ("background", "target")])

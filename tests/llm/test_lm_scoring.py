@@ -69,3 +69,11 @@ def test_edges(spark):
     assert lm.score(none, labels).collect() == []
     twice = spark.createDataFrame([(1, "x y"), (1, "x y"), (None, "x y")], DOCS).selectExpr("*", "1 AS trusted", "2 AS key")
     assert len({tuple(r)[1:] for r in lm.score(twice, labels).collect()}) == 1
+
+
+def test_target_is_counted_whole(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TARGET_DOCUMENTS", 2, raising=False)
+    rows = [(i, f"the house number {i} of the town " * (i + 1)) for i in range(20)]
+    want = brute(rows, range(15))
+    got = lm.score(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, 1, 0) for i in range(15)], LABELS)).collect()
+    assert all(np.allclose([r.target_loss, r.background_loss], want[r.doc_id][1:], atol=1e-4) for r in got)
