@@ -2,11 +2,14 @@
 
 Target and background model share one vocabulary, the tokens of a fixed public
 tokenizer, and one form: a bigram share mixed with a smoothed unigram share.  The
-background is counted over all documents, the target over trusted ones.  Bigrams are
-counted by hashed bucket, so that both models have a fixed size, whatever the
-corpus; the counts themselves are gathered from all of it.  A document's score is the
-mean over its tokens of target loss less background loss: the lower, the more like
-the target.
+background is counted over all documents, the target over trusted ones.  A
+document's score is the mean over its tokens of target loss less background loss: the
+lower, the more like the target.
+
+Exact counts are a table of token pairs that grows with the corpus.  Of the pairs of
+each hashed slot the most frequent is broadcast with its counts; a document's other
+pairs meet the table in a join, each once a document.  Hashed counts add up the pairs of a
+bucket, and the model has a fixed size.
 """
 
 from __future__ import annotations
@@ -21,12 +24,17 @@ from pyspark.sql import functions as F
 from tessera.llm.bpe import WordMemory, default_vocabulary, split_words, vocabulary
 from tessera.llm.common import slices, table, write_shared
 
-#: Buckets of hashed bigrams (a power of two) and the vocabulary's size, rounded up.
+#: Buckets of hashed bigrams, or slots of broadcast exact ones (a power of two), and the
+#: vocabulary's size, rounded up.
 BUCKETS = 1 << 20
 TOKENS = 1 << 16
 #: Weight of the bigram share, and what is added to each token's count.
 MIX = 0.6
 PRIOR = 0.1
+#: Tokens that a counting task holds before it sums them up.
+HELD = 1 << 20
+#: Losses of joined pairs are summed in these parts of a nat, whatever their order.
+PARTS = 1 << 32
 _MIX64 = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,6 +45,16 @@ def buckets_of(ids: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(32))) * _MIX64 >> np.uint64(44)).astype(np.int64) & (BUCKETS - 1)
 
 
+def pairs_of(ids: np.ndarray) -> np.ndarray:
+    """Both tokens of each adjacent pair in one number."""
+    return (ids[:-1] << 16) + ids[1:]
+
+
+def slots_of(pairs: np.ndarray, slots: int) -> np.ndarray:
+    """Slot of each pair of pairs_of."""
+    return (pairs.astype(np.uint64) * _MIX64 >> np.uint64(44)).astype(np.int64) & (slots - 1)
+
+
 def _tokenizer(path: str):
     """doc_id, text to doc_id, tokens (two bytes each)."""
 
@@ -53,76 +71,118 @@ def _tokenizer(path: str):
     return run
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of tokens (keys below TOKENS) and bigram buckets (TOKENS more) of the task's
-    documents: background and target, a row for each key that occurs."""
-    counts = np.zeros((2, TOKENS + BUCKETS), np.int64)
-    for batch in batches:
-        for tokens, trusted in zip(batch.column("tokens"), batch.column("trusted").to_pylist()):
-            ids = np.frombuffer(tokens.as_buffer(), "<u2").astype(np.int64)
-            if len(ids):
-                keys = np.concatenate((ids, TOKENS + buckets_of(ids)))
-                for kind in range(1 + bool(trusted)):
-                    np.add.at(counts[kind], keys, 1)
-    keys = np.flatnonzero(counts[0])
-    for at in range(0, len(keys), 100_000):
-        own = keys[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array(c[own], pa.int64()) for c in counts)], ["key", "background", "target"])
+def _counter(exact: bool):
+    """Counts of tokens (keys below TOKENS) and of pairs or buckets (TOKENS more) of the
+    task's documents: background and target, rows for each key that occurs."""
+
+    def summed(held: tuple[list, list]) -> Iterator[pa.RecordBatch]:
+        for trusted, parts in enumerate(held):
+            if parts:
+                keys, n = np.unique(np.concatenate(parts), return_counts=True)
+                for at in range(0, len(keys), 100_000):
+                    own = pa.array(n[at : at + 100_000], pa.int64())
+                    target = own if trusted else pa.array(np.zeros(len(own), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000], pa.int64()), own, target], ["key", "background", "target"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = ([], []), 0
+        for batch in batches:
+            for tokens, trusted in zip(batch.column("tokens"), batch.column("trusted").to_pylist()):
+                ids = np.frombuffer(tokens.as_buffer(), "<u2").astype(np.int64)
+                if len(ids):
+                    held[bool(trusted)].extend((ids, TOKENS + (pairs_of if exact else buckets_of)(ids)))
+                    size += len(ids)
+                if size >= HELD:
+                    yield from summed(held)
+                    held, size = ([], []), 0
+        yield from summed(held)
+
+    return run
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, tokens) of all documents, as a table: texts are cut once."""
+    """(doc_id, tokens, row) of all documents, as a table: texts are cut once."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return write_shared(texts.mapInArrow(_tokenizer(path), "doc_id long, tokens binary"), "tokens")
+    tokens = texts.mapInArrow(_tokenizer(path), "doc_id long, tokens binary")
+    return write_shared(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
 
 
-def counts(tokens: DataFrame, labels: DataFrame) -> DataFrame:
+def counts(tokens: DataFrame, labels: DataFrame, exact: bool) -> DataFrame:
     """(key, background, target) over all documents and all trusted ones.  Spark
     broadcasts the trusted ids while they are few and else shuffles the tokens."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     marked = tokens.join(good.withColumn("trusted", F.lit(1)), "doc_id", "left").select("tokens", "trusted")
-    own = marked.mapInArrow(_counted, "key long, background long, target long")
+    own = marked.mapInArrow(_counter(exact), "key long, background long, target long")
     return own.groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
-def losses(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From one model's counts: unigram shares, bucket counts and token counts."""
-    tokens, buckets = count[:TOKENS].astype(float), count[TOKENS:].astype(float)
-    return ((tokens + PRIOR) / (tokens.sum() + PRIOR * TOKENS)).astype(np.float32), buckets.astype(np.float32), tokens.astype(np.float32)
+def token_model(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From one model's token counts: smoothed shares and the counts."""
+    tokens = count.astype(float)
+    return (tokens + PRIOR) / (tokens.sum() + PRIOR * TOKENS), tokens
+
+
+def pair_losses(pairs: np.ndarray, model: tuple[np.ndarray, np.ndarray], count: np.ndarray) -> np.ndarray:
+    """-log of the probability of each pair's second token after the first."""
+    share, tokens = model[0][pairs & (TOKENS - 1)], model[1][pairs >> 16]
+    seen = np.minimum(count, tokens) / np.maximum(tokens, 1)
+    return -np.log(np.where(tokens > 0, MIX * seen + (1 - MIX) * share, share))
 
 
-def token_losses(ids: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """-log of each token's probability after the one before; the first has its share."""
-    share, pairs, tokens = model
-    p = share[ids].astype(np.float64)
-    if len(ids) > 1:
-        before = tokens[ids[:-1]]
-        seen = np.minimum(pairs[buckets_of(ids)], before) / np.maximum(before, 1)
-        p[1:] = np.where(before > 0, MIX * seen + (1 - MIX) * p[1:], p[1:])
-    return -np.log(p)
+def _slotter(slots: int):
+    """Adds the slot to exact counts of pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("slot", pa.array(slots_of(np.asarray(batch.column("key")) - TOKENS, slots)))
+
+    return run
+
+
+def _pair_losses(models):
+    """Exact counts of pairs to their losses in PARTS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = np.asarray(batch.column("key")) - TOKENS
+            found = [pair_losses(pairs, m, np.asarray(batch.column(c))) for m, c in zip(models.value[1], ("background", "target"))]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), *(pa.array(np.rint(x * PARTS).astype(np.int64)) for x in found)], ["pair", "background", "target"])
+
+    return run
+
 
+def _scorer(models, exact: bool):
+    """Sums of losses in PARTS but for the pairs that must be joined, which are listed."""
 
-def _scorer(models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        background, target = models.value
+        (known, *counted), unigrams = models.value
         for batch in batches:
-            n, b, t = [], [], []
+            n, sums, missed, times = [], ([], []), [], []
             for tokens in batch.column("tokens"):
                 ids = np.frombuffer(tokens.as_buffer(), "<u2").astype(np.int64)
                 n.append(len(ids))
-                b.append(float(token_losses(ids, background).mean()) if len(ids) else 0.0)
-                t.append(float(token_losses(ids, target).mean()) if len(ids) else 0.0)
-            arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "target_loss", "background_loss"])
+                pairs = pairs_of(ids)
+                slots = slots_of(pairs, len(known)) if exact else buckets_of(ids)
+                hit = known[slots] == pairs if exact else np.ones(len(pairs), bool)
+                for own, model, count in zip(sums, unigrams, counted):
+                    first = -np.log(model[0][ids[:1]]).sum()
+                    own.append(round((first + pair_losses(pairs[hit], model, count[slots[hit]]).sum()) * PARTS))
+                keys, count = np.unique(pairs[~hit], return_counts=True)
+                missed.append(keys)
+                times.append(count)
+            ends = np.cumsum([0, *map(len, missed)]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x), pa.int64())) if x else pa.array([], pa.list_(pa.int64())) for x in (missed, times)]
+            arrays = [batch.column("row"), batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, *sums)), *lists]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "n_tokens", "background", "target", "missed", "times"])
 
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, path: str | None = None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, path: str | None = None, exact: bool = False) -> DataFrame:
     """Return (doc_id, n_tokens, target_loss, background_loss, difference) for each row
     of ``docs`` (doc_id, text): mean losses a token in nats, and target less background.
     ``labels`` (doc_id, quality, toxic) names the trusted documents; other columns are
-    ignored.
+    ignored.  ``exact`` counts each pair of tokens for itself, not its hashed bucket.
 
     Null and empty texts have no token and zeros.  Without trusted documents the
     target is uniform.  Rows are independent; an empty table gives an empty result.
@@ -130,17 +190,40 @@ def score(docs: DataFrame, labels: DataFrame, path: str | None = None) -> DataFr
     path = path or default_vocabulary()
     spark = docs.sparkSession
     tokens = tokenized(docs, path)
-    found = write_shared(counts(tokens, labels), "ngrams")
-    count = np.zeros((2, TOKENS + BUCKETS), np.int64)
-    for batch in found.toArrow().to_batches():  # at most TOKENS + BUCKETS rows, 25 MB
-        count[:, np.asarray(batch.column("key"))] = np.stack([np.asarray(batch.column(c)) for c in ("background", "target")])
-    models = spark.sparkContext.broadcast(tuple(losses(c) for c in count))
-    scored = tokens.select("doc_id", "tokens").mapInArrow(_scorer(models), "doc_id long, n_tokens long, target_loss double, background_loss double")
-    return scored.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
+    found = write_shared(counts(tokens, labels, exact), "ngrams")
+    pairs = found.where(F.col("key") >= TOKENS)
+    slot = F.col("key") - TOKENS
+    if exact:
+        schema = "key long, background long, target long, slot long"
+        best = F.max_by(F.struct("key", "background", "target"), F.struct("background", "key"))
+        fixed = pairs.mapInArrow(_slotter(BUCKETS), schema).groupBy("slot").agg(best.alias("best")).select("slot", "best.*")
+    else:
+        fixed = pairs.select(slot.alias("slot"), "key", "background", "target")
+    one = found.where(F.col("key") < TOKENS).select(F.col("key").alias("slot"), "key", "background", "target")
+    unigrams, table_ = np.zeros((2, TOKENS), np.int64), np.zeros((3, BUCKETS), np.int64)
+    table_[0] = -1
+    for rows, into in ((one, unigrams), (fixed, table_)):  # at most TOKENS and BUCKETS rows, 35 MB
+        for batch in rows.toArrow().to_batches():
+            into[-2:, np.asarray(batch.column("slot"))] = np.stack([np.asarray(batch.column(c)) for c in ("background", "target")])
+            if into is table_:
+                into[0, np.asarray(batch.column("slot"))] = np.asarray(batch.column("key")) - TOKENS
+    models = spark.sparkContext.broadcast((table_, tuple(token_model(c) for c in unigrams)))
+    schema = "row long, doc_id long, n_tokens long, background long, target long, missed array<long>, times array<long>"
+    scored = tokens.mapInArrow(_scorer(models, exact), schema)
+    if exact:
+        scored = write_shared(scored, "scored")
+        listed = scored.select("row", F.explode(F.arrays_zip("missed", "times")).alias("of")).select("row", F.col("of.missed").alias("pair"), "of.times")
+        known = pairs.mapInArrow(_pair_losses(models), "pair long, background long, target long")
+        total = lambda c: F.sum(F.col("times") * F.col(c)).alias(f"more_{c}")
+        scored = scored.join(listed.join(known, "pair").groupBy("row").agg(total("background"), total("target")), "row", "left")
+    else:
+        scored = scored.withColumn("more_background", F.lit(0)).withColumn("more_target", F.lit(0))
+    mean = lambda c: F.when(F.col("n_tokens") > 0, (F.col(c) + F.coalesce(f"more_{c}", F.lit(0))) / PARTS / F.col("n_tokens")).otherwise(F.lit(0.0)).alias(f"{c}_loss")
+    return scored.select("doc_id", "n_tokens", mean("target"), mean("background")).withColumn("difference", F.col("target_loss") - F.col("background_loss"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), exact=True)
 
 
 QUERIES = {"op1_lm_scoring": op1}

@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from tessera.llm import lm_scoring as lm
@@ -77,3 +78,26 @@ def test_target_is_counted_whole(spark, monkeypatch):
     want = brute(rows, range(15))
     got = lm.score(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, 1, 0) for i in range(15)], LABELS)).collect()
     assert all(np.allclose([r.target_loss, r.background_loss], want[r.doc_id][1:], atol=1e-4) for r in got)
+
+
+@pytest.mark.parametrize("slots", [16, lm.BUCKETS])
+def test_exact_counts(spark, monkeypatch, slots):
+    """With few slots nearly all pairs go through the join."""
+    monkeypatch.setattr(lm, "BUCKETS", slots)
+    monkeypatch.setitem(globals(), "bucket", lambda a, b: (a, b))
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    rows += [(None, rows[0][1]), (10_001, None), (10_002, ""), (10_003, "a")]
+    labels = [(i, k % 2, 0) for k, (i, _) in enumerate(rows[:30])]
+    want = brute(rows, [i for i, q, _ in labels if q == 1])
+    got = lm.score(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS), exact=True).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.n_tokens == want[r.doc_id][0]
+        assert np.allclose([r.target_loss, r.background_loss], want[r.doc_id][1:], rtol=0, atol=1e-7)
+
+
+def test_the_query_is_exact(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    whole = {r.doc_id: r.difference for r in lm.op1(spark, sf).collect()}
+    monkeypatch.setattr(lm, "BUCKETS", 16)
+    assert all(abs(r.difference - whole[r.doc_id]) < 1e-7 for r in lm.op1(spark, sf).collect())
