@@ -17,8 +17,6 @@ from tessera.llm.common import table, write_shared
 
 ENDING = 3
 BUCKETS = 1 << 16
-#: Labelled documents that the target is fitted on, at most: those of least hash.
-TARGET_DOCUMENTS = 20_000
 #: Added to each bucket's share of a multinomial, in n-grams.
 SMOOTHING = 0.5
 #: Mean log ratio below which a document goes.
@@ -51,8 +49,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, weight): a millionth of the log ratio target to raw, as a long; at
     most BUCKETS rows."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id").distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCUMENTS).withColumn("trusted", F.lit(1))
-    texts = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").select("trusted", words_of(F.col("text")).alias("w"))
+    good = good.withColumn("trusted", F.lit(1))
+    texts = docs.select("doc_id", "text").join(good, "doc_id", "left").select("trusted", words_of(F.col("text")).alias("w"))
     grams = _grams(texts).select("trusted", F.explode(F.array("one", "pair")).alias("bucket")).where(F.col("bucket").isNotNull())
     counts = grams.groupBy("bucket").agg(F.count("trusted").alias("target"), F.count("*").alias("raw"))
     counts = write_shared(counts, "grams")

@@ -140,6 +140,12 @@ def test_rules_edges(spark):
     assert len(quality_rules.quality(twice, labels).collect()) == 3
 
 
+def test_rules_count_the_target_whole(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "TARGET_DOCUMENTS", 2, raising=False)
+    docs = spark.createDataFrame([(i, f"the house{i} of town{i * i} " * (i + 3)) for i in range(20)], DOCS)
+    check_rules(spark, docs, spark.createDataFrame([(i, 1, 0) for i in range(15)], "doc_id long, quality int, toxic int"))
+
+
 # 10
 
 
