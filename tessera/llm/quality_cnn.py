@@ -22,11 +22,11 @@ CHUNK = 512
 OVERLAP = 32
 WIDTH = 6
 FILTERS = 16
-STRIDE = 2
+STRIDE = 1
 #: Labelled documents that the network is trained on, at most: those of least hash.
 SAMPLE = 4000
-#: Chunks of each that training sees, at hashed places.
-SAMPLE_CHUNKS = 4
+#: Bytes of theirs, at most: whole documents, in order of hash.
+SAMPLE_BYTES = 8 << 20
 EPOCHS = 14
 #: Score from which a document is predicted to be good.
 GOOD = 0.7
@@ -80,9 +80,10 @@ class Network:
                 chunks = np.concatenate([docs[i] for i in part])
                 sizes = np.array([len(docs[i]) for i in part])
                 starts = np.cumsum(sizes) - sizes
-                conv = self.convolved(chunks)
-                place = conv.argmax(axis=1)
-                pooled = np.maximum(np.take_along_axis(conv, place[:, None], axis=1)[:, 0], 0)
+                convs = (self.convolved(chunks[at : at + 16]) for at in range(0, len(chunks), 16))
+                found = [(c.argmax(axis=1), c.max(axis=1)) for c in convs]
+                place = np.concatenate([f[0] for f in found])
+                pooled = np.maximum(np.concatenate([f[1] for f in found]), 0)
                 doc_of = np.repeat(np.arange(len(part)), sizes)
                 top = np.maximum.reduceat(pooled, starts)
                 both = np.concatenate((top, np.add.reduceat(pooled, starts) / sizes[:, None]), axis=1)
@@ -105,18 +106,25 @@ class Network:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network:
-    """Fit on at most SAMPLE labelled documents; at most SAMPLE_CHUNKS chunks of each
-    come to the driver (8 MB in all)."""
+    """Fit on all chunks of at most SAMPLE labelled documents of at most SAMPLE_BYTES
+    together; a document that alone has more can't be chosen."""
     marked = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    spare = F.greatest(F.octet_length(data) - CHUNK, F.lit(0)) + 1
-    cut = F.array(*[F.substring(data, (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(k)), spare) + 1).cast("int"), F.lit(CHUNK)) for k in range(SAMPLE_CHUNKS)])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.array_distinct(cut).alias("cut"))
-    found = rows.toArrow().sort_by("doc_id")
+    rows = docs.select("doc_id", data.alias("data")).join(F.broadcast(chosen), "doc_id")
+    sizes = rows.groupBy("doc_id").agg(F.sum(F.octet_length("data")).alias("size"), F.xxhash64("doc_id").alias("hash"))
+    ids, left = [], SAMPLE_BYTES
+    for r in sizes.orderBy("hash", "doc_id").collect():
+        if r.size <= SAMPLE_BYTES:
+            if r.size > left:
+                break
+            ids.append((r.doc_id,))
+            left -= r.size
     network = Network()
-    if found.num_rows:
-        chunks = [np.concatenate([chunked(bytes(c)[:CHUNK]) for c in own]) for own in found.column("cut").to_pylist()]
+    if ids:
+        own = docs.sparkSession.createDataFrame(ids, sizes.select("doc_id").schema)
+        found = rows.join(F.broadcast(own), "doc_id").select("doc_id", "quality", "data").toArrow().sort_by("doc_id")
+        chunks = [chunked(bytes(d)) for d in found.column("data").to_pylist()]
         network.fit(chunks, np.asarray(found.column("quality"), np.float32))
     return network
 

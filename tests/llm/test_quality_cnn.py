@@ -41,3 +41,18 @@ def test_held_out_accuracy(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     tested = [r.predicted == labels[r.doc_id] for r in rows if r.held_out and r.doc_id in labels]
     assert len(tested) > 50 and np.mean(tested) > 0.85
+
+
+def test_training_sees_whole_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(cnn.Network, "fit", lambda self, docs, y: seen.extend(docs) or self)
+    texts = [f"{i} " * (i * 900) for i in range(1, 9)]
+    df = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "doc_id long, text string, quality int")
+    cnn.train(df, df)
+    assert sorted(c.tobytes() for c in seen) == sorted(cnn.chunked(t.encode()).tobytes() for t in texts)
+    assert cnn.STRIDE == 1
+    most = seen.clear() or len(texts[4])
+    monkeypatch.setattr(cnn, "SAMPLE_BYTES", most)
+    cnn.train(df, df)
+    whole = {cnn.chunked(t.encode()).tobytes() for t in texts if len(t) <= most}
+    assert seen and {c.tobytes() for c in seen} <= whole
