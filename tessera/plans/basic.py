@@ -96,6 +96,10 @@ C.sql(
 C.query("order_by_nulls", "SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer ORDER BY k DESC NULLS FIRST, c_acctbal NULLS LAST, c_custkey LIMIT 200")(
     lambda t: t.customer.withColumn("k", F.nullif("c_nationkey", F.lit(3))).orderBy(F.col("k").desc_nulls_first(), F.col("c_acctbal").asc_nulls_last(), "c_custkey").limit(200).select("c_custkey", "k")
 )
+C.query("order_by_nulls_whole", "SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer ORDER BY k DESC NULLS FIRST, c_acctbal NULLS LAST, c_custkey")(
+    lambda t: t.customer.withColumn("k", F.nullif("c_nationkey", F.lit(3))).orderBy(F.col("k").desc_nulls_first(), F.col("c_acctbal").asc_nulls_last(), "c_custkey").select("c_custkey", "k")
+)
+C.sql("order_by_expression_whole", "SELECT p_partkey, p_retailprice FROM {part} ORDER BY p_retailprice % 100 DESC, p_partkey")
 C.sql("order_limit_offset", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 30")
 C.sql("order_by_expression", "SELECT p_partkey, p_retailprice FROM {part} ORDER BY p_retailprice % 100 DESC, p_partkey LIMIT 50")
 C.query("top_k", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 25")(

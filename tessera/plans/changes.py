@@ -36,6 +36,9 @@ C.query("read_by_id", "SELECT * FROM orders WHERE o_orderkey IN (3, 5, 77)")(lam
 C.query("blob_range", "SELECT doc_id, substr(text, 6, 10) AS part, octet_length(encode(text)) AS size FROM documents WHERE lang = 'en'")(
     lambda t: t.documents.where("lang = 'en'").withColumn("b", F.encode("text", "utf-8")).select("doc_id", F.decode(sources.blob_range("b", 5, 10), "utf-8").alias("part"), F.octet_length("b").cast("long").alias("size"))
 )
+C.query("blob_range_bytes", "SELECT doc_id, substr(hex(encode(text)), 11, 20) AS part FROM documents")(
+    lambda t: t.documents.withColumn("b", F.encode("text", "utf-8")).select("doc_id", F.hex(sources.blob_range("b", 5, 10)).alias("part"))
+)
 
 
 @C.query("dml_insert", "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 100 + r_regionkey, r_name, -1 FROM region")

@@ -42,6 +42,20 @@ def strings_trim(t: Tables):
     )
 
 
+@C.query(
+    "strings_trim_whole",
+    """SELECT doc_id, regexp_replace(s, '^\\s+', '') AS l, regexp_replace(s, '\\s+$', '') AS r, trim(s, ' ' || chr(9) || chr(10)) AS b, length(text) AS n,
+              strpos(substr(text, 3), 'e') + CASE WHEN strpos(substr(text, 3), 'e') > 0 THEN 2 ELSE 0 END AS locate
+       FROM (SELECT doc_id, text, '  ' || text || chr(9) || ' ' AS s FROM documents)""",
+)
+def strings_trim_whole(t: Tables):
+    s = F.concat(F.lit("  "), "text", F.lit("\t "))
+    return t.documents.select(
+        "doc_id", strings.ltrim(s).alias("l"), strings.rtrim(s).alias("r"), strings.trim(s).alias("b"),
+        F.char_length("text").cast("long").alias("n"), F.locate("e", c("text"), 3).cast("long").alias("locate"),
+    )
+
+
 C.query("strings_initcap", "SELECT * FROM (VALUES ('Foo-Bar', 'foo-bar'), ('Ab 1c_De', 'aB 1C_dE'), ('', '')) x(title, s)")(
     lambda t: t.spark.createDataFrame([("foo-bar",), ("aB 1C_dE",), ("",)], "s string").select(strings.initcap(c("s")).alias("title"), "s")
 )

@@ -20,3 +20,8 @@ def test_query(spark, con, name):
         same(spark, con, SF, QUERIES[name], ORACLE[name])
     else:
         assert QUERIES[name](spark, SF).collect()
+
+
+@pytest.mark.parametrize("name", ["order_by_nulls_whole", "order_by_expression_whole"])
+def test_order_of_all_rows(spark, con, name):
+    assert [tuple(r) for r in QUERIES[name](spark, SF).collect()] == con.sql(ORACLE[name]).fetchall()
