@@ -2,10 +2,13 @@
 
 Markup is stripped to lines, one for each block of text; what stands in menus,
 headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles
-counts as markup and leaves an empty line, as does the text of links.  The lengths of
-``WINDOW`` lines from each line on are summed: a surge is where the sum comes to
-``SURGE``, a dive where it falls to nothing.  Text between a surge's rise and its dive
-is kept; in a page that marks its article, of that article only.
+counts as markup and leaves an empty line; the text of links adds nothing to a line's
+length, in an article or outside.  The lengths of ``WINDOW`` lines from each line on
+are summed: a surge is where the sum comes to ``SURGE``, a dive where it falls to
+nothing.  Text between a surge's rise and its dive is kept.  Marked articles (article and main
+elements) are a feature: on a page that has some, lines outside have no length, and
+an article surges if it has ``SHARE`` of the longest one's length; its title and last words
+may be short, so that inside it a dive alone cuts, not a missing surge.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from tessera.llm.common import slices, table
 WINDOW = 3
 #: Characters in a window that make a surge.
 SURGE = 80
+#: Length of an article, to that of the page's longest, that makes a surge of its own.
+SHARE = 0.25
 #: Empty lines that a stripped element leaves: one inside the text makes no dive.
 GAP = 1
 
@@ -86,9 +91,11 @@ def _dropped(name: str, attributes: str, in_article: bool) -> bool:
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
     """The page's lines; open elements are kept on a stack, and an end tag closes its
-    element and those opened since, so that unclosed ones do no harm."""
+    element and those opened since, so that unclosed ones do no harm.  Open elements are
+    counted by name, so that an end tag without a start costs nothing."""
     out, stack, at, articles = _Lines(), [], 0, 0
     # A stack entry: (name, dropped, article number outside it).
+    opened: dict[str, int] = {}
     drops = links = 0
     for m in iter(lambda: _TOKEN.search(page, at), None):
         if m.start() > at and not drops:
@@ -107,9 +114,11 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             if not drops:
                 out.gap()
         elif closing:
-            if any(x[0] == name for x in stack):
-                while stack:
+            if opened.get(name):
+                own = ""
+                while own != name:
                     own, dropped, article = stack.pop()
+                    opened[own] -= 1
                     drops -= dropped
                     links -= own == "a"
                     if own in ARTICLE and not drops:
@@ -118,16 +127,15 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                     if dropped and not drops:
                         out.parts, out.linked = [], 0
                         out.gap()
-                    if own == name:
-                        break
         elif name not in VOID and not m[3].rstrip().endswith("/"):
             dropped = _dropped(name, m[3], out.article > 0)
-            if name in ARTICLE and not dropped and drops and not any(x[0] in ARTICLE for x in stack):
+            if name in ARTICLE and not dropped and drops and not any(opened.get(x) for x in ARTICLE):
                 # An element that was never closed doesn't swallow the article.
-                stack, drops, links = [], 0, 0
+                stack, opened, drops, links = [], {}, 0, 0
             if dropped and not drops:
                 out.gap()
             stack.append((name, dropped, out.article))
+            opened[name] = opened.get(name, 0) + 1
             drops += dropped
             links += name == "a"
             if name in ARTICLE and not drops and not out.article:
@@ -139,31 +147,60 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     return out.lines
 
 
-def kept_lines(lines: list[tuple[str, int, int]]) -> list[str]:
-    """Text between surges and dives; of the longest article if any is marked."""
-    sizes: dict[int, int] = {}
-    for _, n, article in lines:
-        sizes[article] = sizes.get(article, 0) + n
-    sizes.pop(0, None)
-    if sizes and max(sizes.values()) > 0:
-        best = max(sizes, key=sizes.get)
-        lines = [x for x in lines if x[2] == best]
-    # An article's links are its own text.
-    lengths = [len(t) if sizes else n for t, n, _ in lines]
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    regions, start = [], None
-    for i, total in enumerate([*sums, 0]):
+def window_sums(lengths: list[int]) -> list[int]:
+    """The line-block distribution: for each line, the length of WINDOW lines from it on."""
+    return [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
+
+
+def regions(lengths: list[int]) -> list[tuple[int, int]]:
+    """(first line, line after the last) from each rise of the distribution to its dive,
+    without the lines of no length that a window reaches before the rise."""
+    out, start = [], None
+    for i, total in enumerate([*window_sums(lengths), 0]):
         if total and start is None:
             start = i
         elif not total and start is not None:
-            # Empty lines and lines of links at the rim are within reach of a window, not text.
             while not lengths[start]:
                 start += 1
-            regions.append((start, i))
+            out.append((start, i))
             start = None
-    surging = [r for r in regions if max(sums[r[0] : r[1]]) >= SURGE]
-    if not surging or sizes:
-        surging = regions if sizes else regions and [max(regions, key=lambda r: sum(lengths[r[0] : r[1]]))]
+    return out
+
+
+def _of_article(lines: list[tuple[str, int, int]]) -> list[str]:
+    """An article's lines but for those of its dives: runs of at least WINDOW lines
+    without a length, such as lists of links."""
+    out: list[str] = []
+    flat: list[str] = []
+    for i, (text, n, _) in enumerate([*lines, ("", 1, 0)]):
+        if n == 0:
+            flat.append(text)
+            continue
+        # Empty lines and a few of links between text are no dive; nor is an article of links alone.
+        if len([t for t in flat if t]) < WINDOW or len(flat) == i == len(lines):
+            out += flat
+        flat = []
+        out.append(text)
+    return [t for t in out if t]
+
+
+def kept_lines(lines: list[tuple[str, int, int]]) -> list[str]:
+    """Text between surges and dives, of marked articles if there are any."""
+    articles: dict[int, list[tuple[str, int, int]]] = {}
+    for line in lines:
+        if line[2]:
+            articles.setdefault(line[2], []).append(line)
+    # An article of links alone still has its text.
+    sizes = {k: sum(n for _, n, _ in own) or int(any(t for t, *_ in own)) for k, own in articles.items()}
+    longest = max(sizes.values(), default=0)
+    if longest:
+        # The longest surges, whatever its length; text is all that a short page has.
+        return [t for k, own in articles.items() if sizes[k] == longest or sizes[k] >= max(SURGE, SHARE * longest) for t in _of_article(own)]
+    lengths = [n for _, n, _ in lines]
+    sums, found = window_sums(lengths), regions(lengths)
+    surging = [r for r in found if max(sums[r[0] : r[1]]) >= SURGE]
+    if not surging and found:
+        surging = [max(found, key=lambda r: sum(lengths[r[0] : r[1]]))]
     return [t for a, b in surging for t, *_ in lines[a:b] if t]
 
 

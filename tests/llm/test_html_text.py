@@ -1,5 +1,9 @@
 import html
+import random
 import re
+import time
+
+import pytest
 
 from tessera.llm import html_text as ht
 
@@ -38,6 +42,47 @@ def test_marks():
     assert ht.main_text(page).split("\n") == ["İ Title", "Text.", "Add on."]
 
 
+PARAGRAPH = "<p>A paragraph of the text that has a good many words in it, as texts mostly do.</p>"
+FARM = "".join(f"<li><a href=/{i}>Link farm {i} with a few words</a></li>" for i in range(9))
+
+
+def test_line_blocks_decide_inside_articles():
+    """No class or element name tells these link farms from the text."""
+    page = f"<article><h1><a href=/>Title</a></h1>{PARAGRAPH}<ul>{FARM}</ul>{PARAGRAPH}<p><a href=/x>One link</a></p><p>End.</p><div class=zx>{FARM}</div></article>"
+    text = ht.main_text(page).split("\n")
+    assert text[0] == "Title" and text[-2:] == ["One link", "End."] and len(text) == 5
+    assert ht.main_text(f"<article><ul>{FARM}</ul></article>").count("\n") == 8
+
+
+def test_line_blocks_decide_on_unmarked_pages():
+    page = f"<div class=qx>{FARM}</div><div><h1>Title</h1>{PARAGRAPH * 3}</div><div class=zx>{FARM}</div><p>Short rest.</p>"
+    assert ht.main_text(page).split("\n")[0] == "Title" and ht.main_text(page).count("\n") == 3
+
+
+def test_several_articles():
+    page = f"<article>{PARAGRAPH * 4}</article><article><p>A teaser.</p></article><article>{PARAGRAPH * 2}</article>{PARAGRAPH}"
+    assert ht.main_text(page).count("\n") == 5
+
+
+def test_surges_against_sums():
+    rnd = random.Random(4)
+    for _ in range(500):
+        lengths = [rnd.choice([0, 0, 0, 5, 90]) for _ in range(rnd.randint(0, 40))]
+        inside = {i for a, b in ht.regions(lengths) for i in range(a, b)}
+        # A line is in a region unless it begins a run of WINDOW lines of no length, or a window only reaches over it to the rise.
+        for i, n in enumerate(lengths):
+            assert (n > 0) <= (i in inside)
+            if sum(lengths[i : i + ht.WINDOW]) == 0:
+                assert i not in inside
+
+
+@pytest.mark.parametrize("page", ["<div><p>" * 50_000 + "<b>x</b>" * 50_000, "<div>" * 50_000 + "</p>" * 50_000 + "</div>" * 50_000, "<nav><p>" * 30_000 + "<article>" * 30_000])
+def test_broken_markup_in_linear_time(page):
+    began = time.perf_counter()
+    ht.main_text(page)
+    assert time.perf_counter() - began < 5
+
+
 def test_small_scale_pages(spark):
     """The pages' articles are marked, so that a plain cut gives their text."""
     rows = {r.page_id: r for r in ht.op3(spark, "/root/testdata/sf0.01").collect()}
