@@ -5,7 +5,8 @@ character classes (hexadecimal; letters, digits and +/_-), runs a window of
 ``WINDOW`` characters over each, and keeps the window's counts and the sum of
 c * log2(c) as characters enter and leave.  A candidate whose highest window entropy
 reaches its class's threshold is a secret, unless an allow-list pattern fits it.
-Positions are code points: the pieces between matches and the matches add up.
+Positions are code points: the pieces between matches and the matches add up, by
+doubling, so that many matches and long candidates take no more than linear-logarithmic time.
 """
 
 from __future__ import annotations
@@ -35,47 +36,94 @@ ALLOWED = (r"^[A-Za-z]+$", r"^[0-9]+$", r"^[^0-9]+$", r"^[0-9a-fA-F]{8}(-[0-9a-f
 #: c * log2(c) in millionths, by count.
 PARTS = tuple(round(1_000_000 * c * math.log2(c)) if c else 0 for c in range(WINDOW + 1))
 MILLION = 1_000_000
+#: Characters that are worked on at once in a long candidate or text.
+BLOCK = 2048
+#: Counts of up to 31, this many in a long.
+PACKED = 12
+#: The powers of two that an array's length can have.
+POWERS = tuple(1 << k for k in range(31))
 
 _SPAN = "array<struct<start:int,rank:int,end:int,group:string,value:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, join) -> Column:
+    """What ``join`` makes of the values up to each place: in each round a place takes
+    in the one as far before it as it already covers."""
+    rounds = F.filter(F.array(*map(F.lit, POWERS)), lambda p: p < F.size(values))
+
+    def step(state: Column, p: Column) -> Column:
+        return F.transform(state, lambda x, i: F.when(i >= p, join(x, F.get(state, i - p))).otherwise(x))
+
+    return F.aggregate(rounds, values, step)
+
+
 def _spans(text: Column, pattern: str, rank: int, group: int, maybe: Column) -> Column:
     """The matches as (start, rank, end, group, value), where ``maybe`` holds."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else values
-    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), values.alias("value"), groups.alias("group"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value")
+    groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("group")] if group else []
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), values, *groups)
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["value"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["group"].alias("group"), x["value"].alias("value"))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(x["value"].isNull(), state["found"]).otherwise(F.concat(state["found"], F.array(span))).alias("found"))
+    def placed(both: Column) -> Column:
+        lengths = F.transform(both, lambda x: F.char_length(x["gap"]) + F.char_length(x["value"]))
 
-    return F.when(maybe, F.aggregate(both, zero, step, lambda s: s["found"])).otherwise(F.array().cast(_SPAN))
+        def span(ends: Column):
+            def of(x: Column, i: Column) -> Column:
+                start = F.get(ends, i) - F.char_length(x["value"])
+                return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.get(ends, i).alias("end"), x["group" if group else "value"].alias("group"), x["value"].alias("value"))
 
+            return of
 
-def window_entropy(value: Column, alphabet: str) -> Column:
-    """The least sum of c * log2(c), in millionths, of any window of ``value``; the
-    entropy is log2(WINDOW) less a WINDOW-th of it."""
-    codes = F.transform(F.sequence(F.lit(1), F.char_length(value)), lambda i: F.instr(F.lit(alphabet), F.substring(value, i, F.lit(1))))
+        return _let(_let(lengths, lambda n: running(n, lambda x, y: x + y)), lambda ends: F.transform(both, span(ends)))
+
+    # The text after the last match is no match's.
+    found = _let(zipped, lambda all_: _let(F.slice(all_, 1, F.size(all_) - 1), placed)).cast(_SPAN)
+    return F.when(maybe, found).otherwise(F.array().cast(_SPAN))
+
+
+def _block_entropy(block: Column, alphabet: str) -> Column:
+    """window_entropy of one block; 2**31 - 1 if it is shorter than a window."""
     parts = F.array(*[F.lit(p) for p in PARTS])
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet) + 1).alias("n"), F.lit(0).alias("sum"), F.lit(2**31 - 1).alias("least"), F.lit(0).alias("at"))
-
-    def over(c: Column) -> Column:
-        def step(state: Column, code: Column) -> Column:
-            leaves = F.coalesce(F.get(c, state["at"] - WINDOW), F.lit(-1))
-            came = F.get(state["n"], code)
-            sum_in = state["sum"] + F.when(leaves == code, 0).otherwise(F.get(parts, came + 1) - F.get(parts, came))
-            went = F.get(state["n"], leaves)
-            total = sum_in + F.when((leaves < 0) | (leaves == code), 0).otherwise(F.get(parts, went - 1) - F.get(parts, went))
-            counts = F.transform(state["n"], lambda n, k: n + (k == code).cast("int") - (k == leaves).cast("int"))
-            full = state["at"] + 1 >= WINDOW
+
+    def code(c: Column) -> Column:
+        """The long that has the character's count, the count's first bit and a one there."""
+        at = F.instr(F.lit(alphabet), c)
+        bit = 5 * (at % PACKED)
+        return F.struct(F.floor(at / PACKED).cast("int").alias("in"), bit.alias("bit"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("one"))
+
+    longs = F.array_repeat(F.lit(0).cast("long"), len(alphabet) // PACKED + 1)
+    zero = F.struct(longs.alias("n"), F.lit(0).alias("sum"), F.lit(2**31 - 1).alias("least"), F.lit(0).alias("at"))
+
+    def over(codes: Column) -> Column:
+        def step(state: Column, came: Column) -> Column:
+            n, gone = state["n"], F.get(codes, state["at"] - WINDOW)
+            count = lambda x: F.call_function("shiftright", F.get(n, x["in"]), x["bit"]).bitwiseAND(F.lit(31).cast("long")).cast("int")
+            change = F.get(parts, count(came) + 1) - F.get(parts, count(came)) + F.coalesce(F.get(parts, count(gone) - 1) - F.get(parts, count(gone)), F.lit(0))
+            total = state["sum"] + F.when(came["one"] == gone["one"], F.when(came["in"] == gone["in"], 0).otherwise(change)).otherwise(change)
+            full = state["at"] >= WINDOW - 1
+            counts = F.transform(n, lambda v, k: F.when(k == came["in"], v + came["one"]).otherwise(v) - F.when(k == gone["in"], gone["one"]).otherwise(0))
             return F.struct(counts.alias("n"), total.alias("sum"), F.when(full, F.least(state["least"], total)).otherwise(state["least"]).alias("least"), (state["at"] + 1).alias("at"))
 
-        return F.aggregate(c, zero, step, lambda s: s["least"])
+        return F.aggregate(codes, zero, step, lambda s: s["least"])
+
+    return _let(F.transform(F.split(block, ""), code), over)
+
+
+def window_entropy(value: Column, alphabet: str) -> Column:
+    """The least sum of c * log2(c), in millionths, of any window of ``value``; the
+    entropy is log2(WINDOW) less a WINDOW-th of it.  Blocks overlap by a window."""
+    blocks = F.regexp_extract_all(value, F.lit(f"(?=(.{{1,{BLOCK + WINDOW - 1}}})).{{1,{BLOCK}}}"), F.lit(1))
+    return F.array_min(F.transform(blocks, lambda block: _block_entropy(block, alphabet)))
 
-    return F.get(F.transform(F.array(codes), over), F.lit(0))
+
+def _iterated(pattern: str) -> str:
+    """The pattern with its group of path parts possessive, which changes nothing, but
+    Java then iterates where it would recurse."""
+    return pattern.replace("/)+", "/)++")
 
 
 def _high_entropy(text: Column, kind: str) -> Column:
@@ -85,7 +133,7 @@ def _high_entropy(text: Column, kind: str) -> Column:
     def secret(x: Column) -> Column:
         allowed = F.lit(False)
         for p in ALLOWED:
-            allowed = allowed | x["value"].rlike(p)
+            allowed = allowed | x["value"].rlike(_iterated(p))
         value = F.lower(x["value"]) if fold else x["value"]
         return F.when(allowed, False).otherwise(window_entropy(value, alphabet) <= most)
 
@@ -117,18 +165,33 @@ def _joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["rank"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters from start to end of a text that is cut into blocks."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    head = F.substring(F.get(blocks, first), start % BLOCK + 1, F.when(first == last, end - start).otherwise(BLOCK))
+    inner = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    tail = F.when(last > first, F.substring(F.get(blocks, last), F.lit(1), end % BLOCK))
+    return F.concat(F.coalesce(head, F.lit("")), inner, F.coalesce(tail, F.lit("")))
+
+
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with each stretch of ``text`` that secrets cover replaced by ``mask``
     (and n_chars, if there is such a column, counted anew)."""
-    zero = F.struct(F.lit(0).alias("end"), F.lit("").alias("out"))
+    spans, nothing = F.col("secrets"), F.lit(0)
+
+    def masked(blocks: Column) -> Column:
+        def joined(ends: Column) -> Column:
+            def piece(x: Column, i: Column) -> Column:
+                done = F.coalesce(F.get(ends, i - 1), nothing)
+                return F.when(x["start"] >= done, F.concat(_between(blocks, done, x["start"]), F.lit(mask))).otherwise("")
+
+            rest = _between(blocks, F.element_at(ends, -1), F.char_length("text"))
+            return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
 
-    def step(state: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), state["end"] + 1, x["start"] - state["end"])
-        out = F.when(x["start"] >= state["end"], F.concat(state["out"], gap, F.lit(mask))).otherwise(state["out"])
-        return F.struct(F.greatest(state["end"], x["end"]).alias("end"), out.alias("out"))
+        return _let(_let(F.transform(spans, lambda x: x["end"]), lambda e: running(e, F.greatest)), joined)
 
-    masked = F.aggregate("secrets", zero, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["end"] + 1, F.lit(2**31 - 1))))
-    found = scan(docs).withColumn("text", F.when(F.size("secrets") > 0, masked).otherwise(F.col("text")))
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    found = scan(docs).withColumn("text", F.when(F.size("secrets") > 0, _let(blocks, masked)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.size("secrets") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*docs.columns)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import xxhash
@@ -71,6 +72,36 @@ def test_redaction(spark):
     assert secrets.redact(df.limit(0)).collect() == []
 
 
+def test_long_candidates_and_many_matches(spark, monkeypatch):
+    """Blocks that are shorter than texts, candidates and runs of matches; and times."""
+    rnd = random.Random(7)
+    run = "".join(rnd.choices("ABCDEFGHijklmnopqrst0123456789+", k=400_000))
+    texts = ["password = hunter2hunter2 and " * 100_000, "ab/" * 30_000 + "9x", "é" + run + " é " + run[:70], "x1" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    began = time.perf_counter()
+    counts = {r.doc_id: r.n for r in secrets.scan(df).select("doc_id", F.size("secrets").alias("n")).collect()}
+    masked = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert time.perf_counter() - began < 60
+    # The sign + ends an assignment's name, so that the run is one candidate.
+    assert counts[0] == 100_000 and counts[1] == 0 and counts[3] == 0
+    assert masked[0] == "[SECRET] and " * 100_000 and masked[1] == texts[1] and masked[2] == "é[SECRET] é [SECRET]"
+
+
+def test_redaction_against_plain(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK", 32)
+    rnd = random.Random(8)
+    parts = ["token=abcdef123", "AKIA" + "A1" * 9, "é𝔘", " ", "deadbeef" * 4, "Q7w8E9r1T2y3U4i5O6p7", "\n", "plain words of text ", "="]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(1, 40))) for _ in range(300)]
+    got = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    for i, text in enumerate(texts):
+        out, end = "", 0
+        for start, _, stop in sorted(base_secrets(text) + entropy_secrets(text)):
+            if start >= end:
+                out += text[end:start] + "[SECRET]"
+            end = max(end, stop)
+        assert got[i] == out + text[end:], text
+
+
 # 9
 
 
