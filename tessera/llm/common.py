@@ -55,18 +55,24 @@ def delete_shared(df: DataFrame) -> None:
 BITMAP_BITS = 1 << 26
 
 
-def maybe_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``column`` may be among ``ids`` (one column): all that are,
-    and some others.  Saves shuffling the others' texts in the join that follows.
-    What is broadcast is a bitmap of fixed size, whatever the number of ids."""
+def maybe_marked(df: DataFrame, column: str, ids: DataFrame, into: str) -> DataFrame:
+    """``df`` with a boolean ``into``: whether ``column`` may be among ``ids`` (one column);
+    true for all that are, and some others.  What is broadcast is a bitmap of fixed
+    size, whatever the number of ids.  A null is among no ids."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS)) + 1
-    own = ids.select(bit(F.col(ids.columns[0])).alias("_bit"))
+    own = ids.select(F.col(ids.columns[0]).alias("_id")).where("_id IS NOT NULL").select(bit(F.col("_id")).alias("_bit"))
     rows = own.groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bits"))
     at = F.bitmap_bit_position("_bit")
     byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = df.withColumn("_bit", bit(F.col(column))).withColumn("_bucket", F.bitmap_bucket_number("_bit"))
-    found = marked.join(F.broadcast(rows), "_bucket").where(F.getbit(byte, (at % 8).cast("int")) == 1)
-    return found.select(*df.columns)
+    keyed = df.withColumn("_bit", F.when(F.col(column).isNotNull(), bit(F.col(column)))).withColumn("_bucket", F.bitmap_bucket_number("_bit"))
+    found = keyed.join(F.broadcast(rows), "_bucket", "left")
+    return found.select(*df.columns, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias(into))
+
+
+def maybe_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among ``ids`` (one column): all that are,
+    and some others.  Saves shuffling the others' texts in the join that follows."""
+    return maybe_marked(df, column, ids, "_maybe").where("_maybe").select(*df.columns)
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,10 @@ Benchmark items become windows of ``WINDOW`` normalised words (a shorter item is
 window); their hashes are the set.  Each document's word windows are hashed and
 probed against it, hits are verified word by word, and the words they cover are
 counted, or the spans or documents removed.  DataFrame functions only.
+
+The set is broadcast while its bytes are within ``BROADCAST_BYTES``.  A larger one is
+shuffled: a bitmap of fixed size then holds back nearly all windows that aren't in
+it, and the others travel as their own words, never as the whole document's.
 """
 
 from __future__ import annotations
@@ -11,11 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import maybe_marked, table
 
 WINDOW = 10
-#: The set is broadcast up to so many windows (about 200 bytes each), else shuffled.
-BROADCAST_WINDOWS = 250_000
+#: The set is broadcast up to so many bytes, its words and ROW_BYTES for each window.
+BROADCAST_BYTES = 50 << 20
+ROW_BYTES = 128
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words once A-Z is lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,23 +47,45 @@ def windows(benchmark: DataFrame) -> DataFrame:
     return cut.withColumn("h", F.xxhash64("words")).distinct()
 
 
-def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, at, n, item_id): occurrences of items' windows, ``at`` from 0."""
+def _starts(size: Column, n: int) -> Column:
+    """(at, n) of each window of n words."""
+    each = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n")))
+    return F.when(size >= n, each).otherwise(F.array().cast("array<struct<at:int,n:int>>"))
+
+
+def _hits(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``rows`` (text and whatever names them) with ``n_words`` and, for each occurrence
+    of an item's window, ``at`` from 0, ``n`` and ``item_id``; at least one row each, of
+    nulls where nothing occurs.  Texts are read and cut once for all window lengths."""
     sought = windows(benchmark)
-    lengths = sorted(r.n for r in sought.select("n").distinct().collect())  # at most WINDOW numbers
-    sought = sought.toDF("item_id", "set_n", "set_words", "set_h")
-    if sought.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+    weight = F.sum(ROW_BYTES + F.aggregate("words", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 16))
+    found = sought.agg(F.sort_array(F.collect_set("n")).alias("lengths"), weight.alias("bytes")).first()  # at most WINDOW numbers
+    own = [c for c in rows.columns if c != "text"]
+    split = rows.withColumn("_w", words_of(F.col("text"))).select(*own, F.size("_w").cast("long").alias("n_words"), "_w")
+    if not found.lengths:
+        return split.select(*own, "n_words", F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("item_id"))
+    size = F.size("_w")
+    if found.lengths == [WINDOW]:
+        at, n = F.when(size >= WINDOW, F.sequence(F.lit(0), size - WINDOW)), F.lit(WINDOW)
+        cut = split.withColumn("_at", F.explode_outer(at)).withColumn("_n", n)
+    else:
+        cut = split.withColumn("_of", F.explode_outer(F.concat(*[_starts(size, k) for k in found.lengths]))).withColumn("_at", F.col("_of.at")).withColumn("_n", F.col("_of.n")).drop("_of")
+    part = F.slice("_w", F.col("_at") + 1, F.col("_n"))
+    cut = cut.withColumn("_h", F.xxhash64(part))
+    # A document's first window stands for it where it has no hit.
+    first = F.col("_at").isNull() | ((F.col("_at") == 0) & (F.col("_n") == found.lengths[0]))
+    sought = sought.select(F.col("item_id"), F.col("n").alias("_set_n"), F.col("words").alias("_set_words"), F.col("h").alias("_set_h"))
+    if found.bytes <= BROADCAST_BYTES:
         sought = F.broadcast(sought)
-    split = docs.select("doc_id", words_of(F.col("text")).alias("w"))
-    out = None
-    for n in lengths:
-        own = split.where(F.size("w") >= n)
-        own = own.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("at"))
-        part = F.slice("w", F.col("at") + 1, F.lit(n))
-        met = own.withColumn("h", F.xxhash64(part)).join(sought.where(F.col("set_n") == n), F.col("h") == F.col("set_h"))
-        met = met.where(part == F.col("set_words")).select("doc_id", "at", F.lit(n).alias("n"), "item_id")
-        out = met if out is None else out.union(met)
-    return out if out is not None else split.select("doc_id", F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit("").alias("item_id")).where("false")
+    else:
+        marked = maybe_marked(cut.withColumn("_first", first), "_h", sought.select("_set_h"), "_maybe").where("_maybe OR _first")
+        cut = marked.select(*own, "n_words", "_at", "_n", "_h", part.alias("_part"))
+        part = F.col("_part")
+    met = cut.join(sought, F.col("_h") == F.col("_set_h"), "left").where(F.col("_set_h").isNotNull() | first)
+    same = (F.col("_n") == F.col("_set_n")) & (part == F.col("_set_words"))
+    # A hash that is equal by chance isn't a hit.
+    item = F.when(same, F.col("item_id"))
+    return met.select(*own, "n_words", F.when(same, F.col("_at")).alias("at"), F.when(same, F.col("_n")).alias("n"), item.alias("item_id"))
 
 
 def _covered(spans: Column) -> Column:
@@ -79,41 +106,46 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``items`` are the sorted ids (strings) of the items with an occurring window,
     ``spans`` the occurrences (at, n) in words.  Null, empty and wordless texts have
-    no words and no hits; wordless items no windows.  Repeated rows of a doc_id
-    repeat its result; with several texts its hits are those of all of them.  A null
-    doc_id is reported without hits.  Empty tables give empty or hitless results.
+    no words and no hits; wordless items no windows.  Each row is judged by its own text,
+    whatever its doc_id: null, repeated, or shared with another text.  Empty tables
+    give empty or hitless results.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    per_doc = hits(docs, benchmark).groupBy("doc_id").agg(
-        F.sort_array(F.collect_set(F.struct("at", "n"))).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items")
-    )
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    all_docs = docs.select("doc_id", n_words.alias("n_words"))
-    joined = all_docs.join(per_doc, "doc_id", "left")
-    n_hit = F.coalesce(_covered(F.col("spans")), F.lit(0).cast("long"))
-    return joined.select(
-        "doc_id",
-        "n_words",
-        n_hit.alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.coalesce("spans", F.array().cast("array<struct<at:int,n:int>>")).alias("spans"),
-        (n_hit > 0).alias("contaminated"),
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
+    span = F.when(F.col("at").isNotNull(), F.struct("at", "n"))
+    joined = _hits(rows, benchmark).groupBy("row", "doc_id", "n_words").agg(F.sort_array(F.collect_set(span)).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
+    n_hit = _covered(F.col("spans"))
+    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", (n_hit > 0).alias("contaminated"))
+
+
+def _hit_keys(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(key, hit): the documents with hits, by a hash of doc_id and text, and their hit words."""
+    hits = _hits(docs.select(_key().alias("key"), "text"), benchmark).where(F.col("at").isNotNull())
+    words = F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)
+    return hits.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set(words))).alias("hit"))
+
+
+def _key() -> Column:
+    """The row's name: equal rows have equal hits.  A null is told from an empty text."""
+    return F.xxhash64(F.col("doc_id"), F.col("text"), F.col("text").isNull())
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs``, all its columns, without the documents that have a hit."""
-    found = hits(docs.select("doc_id", "text"), benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """``docs``, all its columns, without the rows whose text has a hit."""
+    hits = _hits(docs.select(_key().alias("key"), "text"), benchmark)
+    keys = hits.where(F.col("at").isNotNull()).select("key").distinct()
+    # Rows that the bitmap clears stay as they are; only the others are shuffled.
+    marked = maybe_marked(docs.withColumn("_key", _key()), "_key", keys, "_maybe")
+    clear = marked.where("NOT _maybe").select(*docs.columns)
+    doubtful = marked.where("_maybe").join(keys, F.col("_key") == F.col("key"), "left_anti").select(*docs.columns)
+    return clear.union(doubtful)
 
 
 def drop_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text): texts without hit words; what stood between other words stays."""
-    per_doc = hits(docs, benchmark).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)))).alias("hit"))
+    per_key = _hit_keys(docs, benchmark)
     parts = F.regexp_extract_all("text", F.lit(f"({WORD}|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+)"), F.lit(1))
     first_is_word = F.when(F.col("text").rlike(f"^{WORD}"), 0).otherwise(1)
-    joined = docs.select("doc_id", "text").join(per_doc, "doc_id", "left").withColumn("parts", parts).withColumn("shift", first_is_word)
+    joined = docs.select("doc_id", "text", _key().alias("key")).join(per_key, "key", "left").withColumn("parts", parts).withColumn("shift", first_is_word)
     kept = F.filter("parts", lambda p, i: ((i - F.col("shift")) % 2 != 0) | ~F.array_contains("hit", ((i - F.col("shift")) / 2).cast("int")))
     return joined.select("doc_id", F.when(F.col("hit").isNull(), F.col("text")).otherwise(F.array_join(kept, "")).alias("text"))
 

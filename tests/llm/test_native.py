@@ -7,6 +7,7 @@ import re
 import time
 from collections import Counter
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -215,3 +216,29 @@ def test_contamination_edges(spark):
     assert [r.doc_id for r in decontaminate.drop_documents(twice, bench).collect()] == [2]
     assert len(decontaminate.contamination(twice, bench.limit(0)).collect()) == 3
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    """Null and shared doc_ids, by a broadcast set and by a shuffled one."""
+    bench = spark.createDataFrame([("i", "one two"), ("j", "a b c d e f g h i j k l")], "item_id string, text string")
+    docs = spark.createDataFrame([(None, "one two"), (1, "one two"), (1, "clean text"), (2, "so a b c d e f g h i j k"), (None, None), (3, "")], DOCS).withColumn("at", F.lit("x")).withColumn("row", F.lit(1))
+    for most in (decontaminate.BROADCAST_BYTES, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(decontaminate, "BROADCAST_BYTES", most)
+            got = sorted(((r.doc_id or 0, r.n_words, r.n_hit, r.items) for r in decontaminate.contamination(docs, bench).collect()), key=repr)
+            kept = decontaminate.drop_documents(docs, bench)
+            assert kept.columns == docs.columns
+            assert sorted((r.text or "") for r in kept.collect()) == ["", "", "clean text"]
+        assert got == [(0, 0, 0, []), (0, 2, 2, ["i"]), (1, 2, 0, []), (1, 2, 2, ["i"]), (2, 12, 11, ["j"]), (3, 0, 0, [])]
+
+
+def test_a_shuffled_set_gives_the_same(spark, monkeypatch):
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    whole = sorted(map(repr, decontaminate.contamination(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    shuffled = decontaminate.contamination(docs, bench)
+    assert sorted(map(repr, shuffled.collect())) == whole
+    # No exchange carries a document's words: only windows' own.
+    plan = shuffled._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    for section in re.findall(r"\(\d+\) Exchange\n(?:.+\n)*", plan):
+        assert "_w#" not in section and "text#" not in section, section
