@@ -2,10 +2,10 @@
 
 Two multinomials over hashed n-grams, of a trusted target (documents labelled good)
 and of the raw corpus (all documents), give each n-gram a log ratio; a document's
-score is the mean over its n-grams, and a fixed threshold decides.  The units are
-the words' last ``ENDING`` characters, whatever they are, so that what a word ends
-with counts even if nobody has seen the word: n-grams are units and pairs of
-adjacent ones.  DataFrame functions only.
+score is the mean over its n-grams, and a fixed threshold decides.  N-grams are the
+whole words and the pairs of adjacent ones.  Both multinomials are smoothed by the same
+share of their own size, so that an n-gram nobody has seen says nothing, whatever
+the sizes of corpus and table.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table, write_shared
 
-ENDING = 3
-BUCKETS = 1 << 16
-#: Added to each bucket's share of a multinomial, in n-grams.
-SMOOTHING = 0.5
+BUCKETS = 1 << 22
+#: Weights that a row of the broadcast table holds.
+PACKED = 64
+#: Added to each bucket's count in the raw corpus, and in proportion in the target.
+SMOOTHING = 10
 #: Mean log ratio below which a document goes.
 THRESHOLD = -0.25
-#: Log ratios are rounded to a millionth, so that sums don't depend on their order.
-SCALE = 1_000_000
+#: Log ratios are rounded to a thousandth, so that sums don't depend on their order.
+SCALE = 1000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -35,19 +36,19 @@ def _bucket(*units: Column) -> Column:
 
 
 def _grams(rows: DataFrame) -> DataFrame:
-    """For each word of ``w``, at ``at`` from 0: its word and buckets (the pair's null
-    after the last word); one row of nulls for a document without words."""
+    """For each word of ``w``, at ``at`` from 0: its bucket and the pair's with the next
+    word (null after the last); one row of nulls for a document without words."""
     at = F.explode_outer(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1)))
     rows = rows.withColumn("at", at)
-    ending = lambda i: F.substring(F.get("w", i), -ENDING, ENDING)
-    one = F.when(F.col("at").isNotNull(), _bucket(ending(F.col("at"))))
-    pair = F.when(F.col("at") + 1 < F.size("w"), _bucket(ending(F.col("at")), ending(F.col("at") + 1)))
+    word = lambda i: F.get("w", i)
+    one = F.when(F.col("at").isNotNull(), _bucket(word(F.col("at"))))
+    pair = F.when(F.col("at") + 1 < F.size("w"), _bucket(word(F.col("at")), word(F.col("at") + 1)))
     return rows.withColumn("one", one).withColumn("pair", pair)
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, weight): a millionth of the log ratio target to raw, as a long; at
-    most BUCKETS rows."""
+    """(part, weights): the log ratios target to raw, in thousandths, of PACKED
+    buckets a row; at most BUCKETS / PACKED rows, some 13 MB, whatever the corpus."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id").distinct()
     good = good.withColumn("trusted", F.lit(1))
     texts = docs.select("doc_id", "text").join(good, "doc_id", "left").select("trusted", words_of(F.col("text")).alias("w"))
@@ -55,8 +56,12 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     counts = grams.groupBy("bucket").agg(F.count("trusted").alias("target"), F.count("*").alias("raw"))
     counts = write_shared(counts, "grams")
     total = counts.agg(F.sum("target").alias("t"), F.sum("raw").alias("r")).first()
-    share = lambda n, of: (F.col(n) + SMOOTHING) / ((of or 0) + SMOOTHING * BUCKETS)
-    return counts.select("bucket", F.round(SCALE * F.log(share("target", total.t) / share("raw", total.r))).cast("long").alias("weight"))
+    # (t / T + k / R) / (r / R + k / R), the shares' common denominators left out.
+    ratio = (F.col("target") * F.lit(float(total.r) / total.t) + SMOOTHING) / (F.col("raw") + SMOOTHING) if total.t else F.lit(1.0)
+    slot = F.struct((F.col("bucket") % PACKED).alias("slot"), F.round(SCALE * F.log(ratio)).cast("short").alias("weight"))
+    packed = counts.groupBy(F.floor(F.col("bucket") / PACKED).cast("int").alias("part")).agg(F.map_from_entries(F.collect_list(slot)).alias("own"))
+    weights = F.transform(F.sequence(F.lit(0), F.lit(PACKED - 1)), lambda i: F.coalesce(F.try_element_at("own", i), F.lit(0).cast("short")))
+    return packed.select("part", weights.alias("weights"))
 
 
 def _let(value: Column, body) -> Column:
@@ -91,9 +96,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     base_failed, score, kept) for each row of ``docs`` (doc_id, text); ``labels`` has
     doc_id, quality, toxic; other columns are ignored.
 
-    Null and empty texts have no words, score 0 and base_failed.  Without labels all
-    weights come from smoothing alone and only the base rules tell documents apart
-    where raw counts are even.  Repeated rows repeat their result; rows with a null
+    Null and empty texts have no words, score 0 and base_failed.  Without trusted
+    documents all weights and scores are 0, and the base rules alone decide.  Repeated rows repeat their result; rows with a null
     doc_id are scored like others; empty tables give an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -108,14 +112,15 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
         words_of(F.col("text")).alias("w"),
     ).withColumn("n_repeat_words", repeated_words(F.col("w")))
     own = ["doc_id", "row", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    # Each word gives two rows; its characters and its count come from the first.
-    grams = _grams(rows).select(*own, F.char_length(F.get("w", F.col("at"))).alias("chars"), F.posexplode(F.array("one", "pair")).alias("kind", "bucket"))
-    weighed = grams.join(F.broadcast(weights), "bucket", "left")
-    first = F.col("kind") == 0
-    per_doc = weighed.groupBy(*own).agg(
-        F.count(F.when(first, F.col("chars"))).alias("n_words"),
-        F.coalesce(F.sum(F.when(first, F.col("chars"))), F.lit(0)).cast("long").alias("word_chars"),
-        F.coalesce(F.sum("weight") / F.count("bucket") / SCALE, F.lit(0.0)).alias("score"),
+    grams = _grams(rows).select(*own, F.char_length(F.get("w", F.col("at"))).alias("chars"), "one", "pair")
+    for kind in ("one", "pair"):
+        part = weights.select(F.col("part").alias(f"{kind}_part"), F.col("weights").alias(f"{kind}_weights"))
+        grams = grams.join(F.broadcast(part), F.floor(F.col(kind) / PACKED).cast("int") == F.col(f"{kind}_part"), "left")
+    weight = lambda kind: F.coalesce(F.get(f"{kind}_weights", F.col(kind) % PACKED), F.lit(0)).cast("long")
+    per_doc = grams.groupBy(*own).agg(
+        F.count("chars").alias("n_words"),
+        F.coalesce(F.sum("chars"), F.lit(0)).cast("long").alias("word_chars"),
+        F.coalesce(F.sum(weight("one") + weight("pair")) / F.nullif(F.count("one") + F.count("pair"), F.lit(0)) / SCALE, F.lit(0.0)).alias("score"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return per_doc.select(
