@@ -1,15 +1,15 @@
 """Cross-entropy difference of two matched n-gram models.
 
 Target and background model share one vocabulary, the tokens of a fixed public
-tokenizer, and one form: a bigram share mixed with a smoothed unigram share.  The
-background is counted over all documents, the target over trusted ones.  A
+tokenizer, and one form: the share of a token among those that follow the one before,
+mixed with a smoothed unigram share, so that the probabilities after each context sum
+to 1.  The background is counted over all documents, the target over trusted ones.  A
 document's score is the mean over its tokens of target loss less background loss: the
 lower, the more like the target.
 
-Exact counts are a table of token pairs that grows with the corpus.  Of the pairs of
+Counts are exact: a table of token pairs that grows with the corpus.  Of the pairs of
 each hashed slot the most frequent is broadcast with its counts; a document's other
-pairs meet the table in a join, each once a document.  Hashed counts add up the pairs of a
-bucket, and the model has a fixed size.
+pairs meet the table in a join, each once a document.
 """
 
 from __future__ import annotations
@@ -22,12 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import WordMemory, default_vocabulary, split_words, vocabulary
-from tessera.llm.common import slices, table, write_shared
+from tessera.llm.common import delete_shared, maybe_in, slices, table, write_shared
 
-#: Buckets of hashed bigrams, or slots of broadcast exact ones (a power of two), and the
-#: vocabulary's size, rounded up.
+#: Slots of broadcast pairs, a power of two.
 BUCKETS = 1 << 20
-TOKENS = 1 << 16
 #: Weight of the bigram share, and what is added to each token's count.
 MIX = 0.6
 PRIOR = 0.1
@@ -38,29 +36,26 @@ PARTS = 1 << 32
 _MIX64 = np.uint64(0x9E3779B97F4A7C15)
 
 
-def buckets_of(ids: np.ndarray) -> np.ndarray:
-    """Bucket of each adjacent pair."""
-    pair = (ids[:-1].astype(np.uint64) << np.uint64(17)) + ids[1:].astype(np.uint64) + np.uint64(1)
-    h = pair * _MIX64
-    return ((h ^ (h >> np.uint64(32))) * _MIX64 >> np.uint64(44)).astype(np.int64) & (BUCKETS - 1)
+def slots_of(pairs: np.ndarray, slots: int) -> np.ndarray:
+    """Slot of each pair."""
+    return (pairs.astype(np.uint64) * _MIX64 >> np.uint64(44)).astype(np.int64) & (slots - 1)
 
 
-def pairs_of(ids: np.ndarray) -> np.ndarray:
-    """Both tokens of each adjacent pair in one number."""
-    return (ids[:-1] << 16) + ids[1:]
+def _width(size: int) -> str:
+    """How a token of a vocabulary of this size is written."""
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def slots_of(pairs: np.ndarray, slots: int) -> np.ndarray:
-    """Slot of each pair of pairs_of."""
-    return (pairs.astype(np.uint64) * _MIX64 >> np.uint64(44)).astype(np.int64) & (slots - 1)
+def _ids(tokens: pa.Scalar, width: str) -> np.ndarray:
+    return np.frombuffer(tokens.as_buffer(), width).astype(np.int64)
 
 
-def _tokenizer(path: str):
-    """doc_id, text to doc_id, tokens (two bytes each)."""
+def _tokenizer(path: str, width: str):
+    """doc_id, text to doc_id, tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        memory = WordMemory(lambda words: [np.array(i, "<u2").tobytes() for i in vocab.encode_words([w.encode("utf-8", "replace") for w in words])])
+        memory = WordMemory(lambda words: [np.array(i, width).tobytes() for i in vocab.encode_words([w.encode("utf-8", "replace") for w in words])])
         for batch in batches:
             for part in slices(batch, "text"):
                 cut = [split_words(t or "") for t in part.column("text").to_pylist()]
@@ -71,31 +66,28 @@ def _tokenizer(path: str):
     return run
 
 
-def _counter(exact: bool):
-    """Counts of tokens (keys below TOKENS) and of pairs or buckets (TOKENS more) of the
-    task's documents: background and target, rows for each key that occurs."""
+def _counter(size: int, width: str):
+    """Of the task's documents the counts of tokens (key: the token), of tokens that
+    another follows (size more) and of pairs (2 * size + first * size + second)."""
 
-    def summed(held: tuple[list, list]) -> Iterator[pa.RecordBatch]:
-        for trusted, parts in enumerate(held):
-            if parts:
-                keys, n = np.unique(np.concatenate(parts), return_counts=True)
-                for at in range(0, len(keys), 100_000):
-                    own = pa.array(n[at : at + 100_000], pa.int64())
-                    target = own if trusted else pa.array(np.zeros(len(own), np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000], pa.int64()), own, target], ["key", "background", "target"])
+    def summed(held: list) -> Iterator[pa.RecordBatch]:
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        for at in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000], pa.int64()), pa.array(n[at : at + 100_000], pa.int64())], ["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = ([], []), 0
+        held, total = [], 0
         for batch in batches:
-            for tokens, trusted in zip(batch.column("tokens"), batch.column("trusted").to_pylist()):
-                ids = np.frombuffer(tokens.as_buffer(), "<u2").astype(np.int64)
+            for tokens in batch.column("tokens"):
+                ids = _ids(tokens, width)
                 if len(ids):
-                    held[bool(trusted)].extend((ids, TOKENS + (pairs_of if exact else buckets_of)(ids)))
-                    size += len(ids)
-                if size >= HELD:
+                    held += [ids, size + ids[:-1], 2 * size + ids[:-1] * size + ids[1:]]
+                    total += len(ids)
+                if total >= HELD:
                     yield from summed(held)
-                    held, size = ([], []), 0
-        yield from summed(held)
+                    held, total = [], 0
+        if held:
+            yield from summed(held)
 
     return run
 
@@ -103,70 +95,77 @@ def _counter(exact: bool):
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, tokens, row) of all documents, as a table: texts are cut once."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tokens = texts.mapInArrow(_tokenizer(path), "doc_id long, tokens binary")
+    tokens = texts.mapInArrow(_tokenizer(path, _width(vocabulary(path).size)), "doc_id long, tokens binary")
     return write_shared(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
 
 
-def counts(tokens: DataFrame, labels: DataFrame, exact: bool) -> DataFrame:
-    """(key, background, target) over all documents and all trusted ones.  Spark
-    broadcasts the trusted ids while they are few and else shuffles the tokens."""
+def counts(tokens: DataFrame, labels: DataFrame, size: int) -> DataFrame:
+    """(key, background, target) over all documents and all trusted ones.  Only the
+    tokens of documents that may be trusted are shuffled to meet the trusted ids."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    marked = tokens.join(good.withColumn("trusted", F.lit(1)), "doc_id", "left").select("tokens", "trusted")
-    own = marked.mapInArrow(_counter(exact), "key long, background long, target long")
-    return own.groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    trusted = maybe_in(tokens.select("doc_id", "tokens"), "doc_id", good).join(good.hint("shuffle_hash"), "doc_id")
+    count = lambda rows: rows.select("tokens").mapInArrow(_counter(size, _width(size)), "key long, n long")
+    both = count(tokens).select("key", F.col("n").alias("background"), F.lit(0).cast("long").alias("target"))
+    both = both.union(count(trusted).select("key", F.lit(0).cast("long").alias("background"), F.col("n").alias("target")))
+    return both.groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
-def token_model(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From one model's token counts: smoothed shares and the counts."""
-    tokens = count.astype(float)
-    return (tokens + PRIOR) / (tokens.sum() + PRIOR * TOKENS), tokens
+class Model:
+    """Unigram shares and context totals of one corpus, from its counts by key."""
 
+    def __init__(self, count: np.ndarray) -> None:
+        self.size = len(count) // 2
+        own = count[: self.size].astype(float) + PRIOR
+        self.share, self.followed = own / own.sum(), count[self.size :].astype(float)
 
-def pair_losses(pairs: np.ndarray, model: tuple[np.ndarray, np.ndarray], count: np.ndarray) -> np.ndarray:
-    """-log of the probability of each pair's second token after the first."""
-    share, tokens = model[0][pairs & (TOKENS - 1)], model[1][pairs >> 16]
-    seen = np.minimum(count, tokens) / np.maximum(tokens, 1)
-    return -np.log(np.where(tokens > 0, MIX * seen + (1 - MIX) * share, share))
+    def probabilities(self, pairs: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Of each pair's second token after its first; ``count`` is the pairs' own."""
+        share, total = self.share[pairs % self.size], self.followed[pairs // self.size]
+        return np.where(total > 0, MIX * count / np.maximum(total, 1) + (1 - MIX) * share, share)
 
+    def losses(self, pairs: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return -np.log(self.probabilities(pairs, count))
 
-def _slotter(slots: int):
-    """Adds the slot to exact counts of pairs."""
+
+def _slotter(slots: int, size: int):
+    """Adds the slot to counts of pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column("slot", pa.array(slots_of(np.asarray(batch.column("key")) - TOKENS, slots)))
+            yield batch.append_column("slot", pa.array(slots_of(np.asarray(batch.column("key")) - 2 * size, slots)))
 
     return run
 
 
 def _pair_losses(models):
-    """Exact counts of pairs to their losses in PARTS."""
+    """Counts of pairs to their losses in PARTS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = np.asarray(batch.column("key")) - TOKENS
-            found = [pair_losses(pairs, m, np.asarray(batch.column(c))) for m, c in zip(models.value[1], ("background", "target"))]
+            pairs = np.asarray(batch.column("key")) - 2 * models.value[1][0].size
+            found = [m.losses(pairs, np.asarray(batch.column(c))) for m, c in zip(models.value[1], ("background", "target"))]
             yield pa.RecordBatch.from_arrays([pa.array(pairs), *(pa.array(np.rint(x * PARTS).astype(np.int64)) for x in found)], ["pair", "background", "target"])
 
     return run
 
 
-def _scorer(models, exact: bool):
+def _scorer(models, width: str):
     """Sums of losses in PARTS but for the pairs that must be joined, which are listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, *counted), unigrams = models.value
+        (known, *counted), both = models.value
+        size = both[0].size
         for batch in batches:
             n, sums, missed, times = [], ([], []), [], []
             for tokens in batch.column("tokens"):
-                ids = np.frombuffer(tokens.as_buffer(), "<u2").astype(np.int64)
+                ids = _ids(tokens, width)
                 n.append(len(ids))
-                pairs = pairs_of(ids)
-                slots = slots_of(pairs, len(known)) if exact else buckets_of(ids)
-                hit = known[slots] == pairs if exact else np.ones(len(pairs), bool)
-                for own, model, count in zip(sums, unigrams, counted):
-                    first = -np.log(model[0][ids[:1]]).sum()
-                    own.append(round((first + pair_losses(pairs[hit], model, count[slots[hit]]).sum()) * PARTS))
+                pairs = ids[:-1] * size + ids[1:]
+                slots = slots_of(pairs, len(known))
+                hit = known[slots] == pairs
+                for own, model, count in zip(sums, both, counted):
+                    first = -np.log(model.share[ids[:1]]).sum()
+                    own.append(round((first + model.losses(pairs[hit], count[slots[hit]]).sum()) * PARTS))
                 keys, count = np.unique(pairs[~hit], return_counts=True)
                 missed.append(keys)
                 times.append(count)
@@ -178,52 +177,55 @@ def _scorer(models, exact: bool):
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, path: str | None = None, exact: bool = False) -> DataFrame:
+def fit(found: DataFrame, size: int) -> tuple[np.ndarray, tuple[Model, Model]]:
+    """From the table of counts: the broadcast pairs by slot (pair, background, target)
+    and both models.  At most BUCKETS and 2 * size rows come to the driver, some 30 MB."""
+    pairs = found.where(F.col("key") >= 2 * size)
+    best = F.max_by(F.struct("key", "background", "target"), F.struct("background", "key"))
+    slotted = pairs.mapInArrow(_slotter(BUCKETS, size), "key long, background long, target long, slot long")
+    frequent = slotted.groupBy("slot").agg(best.alias("best")).select("slot", "best.*")
+    single = found.where(F.col("key") < 2 * size).select(F.col("key").alias("slot"), "key", "background", "target")
+    one, two = np.zeros((3, 2 * size), np.int64), np.zeros((3, BUCKETS), np.int64)
+    two[0] = -1
+    for rows, into in ((single, one), (frequent, two)):
+        for batch in rows.toArrow().to_batches():
+            into[:, np.asarray(batch.column("slot"))] = np.stack([np.asarray(batch.column(c)) for c in ("key", "background", "target")])
+    two[0, two[0] >= 0] -= 2 * size
+    return two, (Model(one[1]), Model(one[2]))
+
+
+def score(docs: DataFrame, labels: DataFrame, path: str | None = None) -> DataFrame:
     """Return (doc_id, n_tokens, target_loss, background_loss, difference) for each row
     of ``docs`` (doc_id, text): mean losses a token in nats, and target less background.
     ``labels`` (doc_id, quality, toxic) names the trusted documents; other columns are
-    ignored.  ``exact`` counts each pair of tokens for itself, not its hashed bucket.
+    ignored.  The result is a table in the shared folder; those it came from are deleted.
 
     Null and empty texts have no token and zeros.  Without trusted documents the
-    target is uniform.  Rows are independent; an empty table gives an empty result.
+    target is uniform.  A null doc_id is trusted by no label; labels of a doc_id that
+    several rows share hold for all of them.  Rows are independent; an empty table
+    gives an empty result.
     """
     path = path or default_vocabulary()
-    spark = docs.sparkSession
+    spark, size = docs.sparkSession, vocabulary(path).size
     tokens = tokenized(docs, path)
-    found = write_shared(counts(tokens, labels, exact), "ngrams")
-    pairs = found.where(F.col("key") >= TOKENS)
-    slot = F.col("key") - TOKENS
-    if exact:
-        schema = "key long, background long, target long, slot long"
-        best = F.max_by(F.struct("key", "background", "target"), F.struct("background", "key"))
-        fixed = pairs.mapInArrow(_slotter(BUCKETS), schema).groupBy("slot").agg(best.alias("best")).select("slot", "best.*")
-    else:
-        fixed = pairs.select(slot.alias("slot"), "key", "background", "target")
-    one = found.where(F.col("key") < TOKENS).select(F.col("key").alias("slot"), "key", "background", "target")
-    unigrams, table_ = np.zeros((2, TOKENS), np.int64), np.zeros((3, BUCKETS), np.int64)
-    table_[0] = -1
-    for rows, into in ((one, unigrams), (fixed, table_)):  # at most TOKENS and BUCKETS rows, 35 MB
-        for batch in rows.toArrow().to_batches():
-            into[-2:, np.asarray(batch.column("slot"))] = np.stack([np.asarray(batch.column(c)) for c in ("background", "target")])
-            if into is table_:
-                into[0, np.asarray(batch.column("slot"))] = np.asarray(batch.column("key")) - TOKENS
-    models = spark.sparkContext.broadcast((table_, tuple(token_model(c) for c in unigrams)))
+    found = write_shared(counts(tokens, labels, size), "ngrams")
+    models = spark.sparkContext.broadcast(fit(found, size))
     schema = "row long, doc_id long, n_tokens long, background long, target long, missed array<long>, times array<long>"
-    scored = tokens.mapInArrow(_scorer(models, exact), schema)
-    if exact:
-        scored = write_shared(scored, "scored")
-        listed = scored.select("row", F.explode(F.arrays_zip("missed", "times")).alias("of")).select("row", F.col("of.missed").alias("pair"), "of.times")
-        known = pairs.mapInArrow(_pair_losses(models), "pair long, background long, target long")
-        total = lambda c: F.sum(F.col("times") * F.col(c)).alias(f"more_{c}")
-        scored = scored.join(listed.join(known, "pair").groupBy("row").agg(total("background"), total("target")), "row", "left")
-    else:
-        scored = scored.withColumn("more_background", F.lit(0)).withColumn("more_target", F.lit(0))
+    scored = write_shared(tokens.mapInArrow(_scorer(models, _width(size)), schema), "scored")
+    listed = scored.select("row", F.explode(F.arrays_zip("missed", "times")).alias("of")).select("row", F.col("of.missed").alias("pair"), "of.times")
+    known = found.where(F.col("key") >= 2 * size).mapInArrow(_pair_losses(models), "pair long, background long, target long")
+    total = lambda c: F.sum(F.col("times") * F.col(c)).alias(f"more_{c}")
+    whole = scored.drop("missed", "times").join(listed.join(known, "pair").groupBy("row").agg(total("background"), total("target")), "row", "left")
     mean = lambda c: F.when(F.col("n_tokens") > 0, (F.col(c) + F.coalesce(f"more_{c}", F.lit(0))) / PARTS / F.col("n_tokens")).otherwise(F.lit(0.0)).alias(f"{c}_loss")
-    return scored.select("doc_id", "n_tokens", mean("target"), mean("background")).withColumn("difference", F.col("target_loss") - F.col("background_loss"))
+    result = whole.select("doc_id", "n_tokens", mean("target"), mean("background")).withColumn("difference", F.col("target_loss") - F.col("background_loss"))
+    result = write_shared(result, "losses")
+    for used in (tokens, found, scored):
+        delete_shared(used)
+    return result
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), exact=True)
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {"op1_lm_scoring": op1}
