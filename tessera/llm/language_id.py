@@ -4,7 +4,9 @@ The pieces are those of a fixed public vocabulary.  Each language gives a piece
 probability, estimated by expectation maximisation: forward and backward sums over
 all segmentations of each word give expected piece counts.  A text's likelihood in a
 language is the product over its words of the sum over all their segmentations, by
-the forward algorithm; distinct words are scored once and remembered.
+the forward algorithm; distinct words are scored once and remembered.  A model that
+gives all pieces the same probability is scored beside the languages: a text that it explains
+better than any of them is in none.
 """
 
 from __future__ import annotations
@@ -12,29 +14,33 @@ from __future__ import annotations
 import functools
 import itertools
 import re
+import sys
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import slices, table
 
-#: Labelled documents that a language is fitted on, at most: those of least hash.
+#: Labelled documents that a language is fitted on: whole ones in order of hash, at most
+#: so many and of at most so many bytes together.
 SAMPLE = 400
-#: Distinct words of a language's sample that are used, at most: the most frequent.
-SAMPLE_WORDS = 30_000
+SAMPLE_BYTES = 4 << 20
 ROUNDS = 3
-#: Pieces are at most so long; words of up to SHORT characters are scored together.
-LONGEST = 10
+#: Words of up to so many characters are scored together.
 SHORT = 40
+#: Words whose scores a task remembers, and their characters.
 REMEMBERED = 400_000
+REMEMBERED_CHARACTERS = 16 << 20
 #: Added to each piece's expected count, and the share of a sign without a piece.
 PRIOR = 0.02
 UNKNOWN = 1e-7
 START = "▁"
-_WORD = re.compile(r"[^\W\d_]+")
+_ASCII = re.compile("[a-z]+")
 
 
 def default_vocabulary() -> str:
@@ -43,30 +49,47 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@functools.lru_cache(1)
+def _word() -> re.Pattern:
+    """A letter, then letters and combining marks, as ranges of code points."""
+
+    def ranges(kinds: str) -> str:
+        points = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in kinds]
+        firsts = [c for c, before in zip(points, [-2, *points]) if c != before + 1]
+        lasts = [c for c, after in zip(points, [*points[1:], -2]) if c != after - 1]
+        return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(firsts, lasts))
+
+    return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
+
+
+def words_of(text: str | None) -> list[str]:
+    low = (text or "").lower()
+    return [START + w for w in (_ASCII if low.isascii() else _word()).findall(low)]
+
+
 @functools.lru_cache(2)
 def pieces(path: str) -> dict[str, int]:
-    """Piece: number, for the pieces that a word of lower-case letters can hold."""
+    """Piece: number, for the pieces that a word of words_of can hold."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    known = [p for p in dict.fromkeys(found) if p and len(p) <= LONGEST and (p.removeprefix(START) or START) and all(c.isalpha() for c in p.removeprefix(START)) and p == p.lower()]
+    inner = lambda p: all(unicodedata.category(c)[0] in "LM" for c in p.removeprefix(START))
+    known = [p for p in dict.fromkeys(found) if p and inner(p) and p == p.lower()]
     return {p: i for i, p in enumerate(known)}
 
 
-_STARTS: dict[int, tuple[dict, dict[str, int]]] = {}
+_STARTS: dict[int, tuple[dict, dict[str, int], int]] = {}
 
 
-def _starts(known: dict[str, int]) -> dict[str, int]:
-    """The pieces with their numbers, and -1 for what pieces only start with."""
+def _starts(known: dict[str, int]) -> tuple[dict[str, int], int]:
+    """The pieces with their numbers, and -1 for what pieces only start with; the
+    longest piece's length."""
     held = _STARTS.get(id(known))
     if held is None or held[0] is not known:
-        held = _STARTS[id(known)] = known, {p[:n]: -1 for p in known for n in range(1, len(p))} | known
-    return held[1]
-
-
-def words_of(text: str | None) -> list[str]:
-    return [START + w for w in _WORD.findall((text or "").lower())]
+        starts = {p[:n]: -1 for p in known for n in range(1, len(p))} | known
+        held = _STARTS[id(known)] = known, starts, max(map(len, known), default=1)
+    return held[1:]
 
 
 def _by_length(words: list[str], known: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -76,8 +99,9 @@ def _by_length(words: list[str], known: dict[str, int]) -> Iterator[tuple[np.nda
     groups: dict[int, list[int]] = {}
     for k, w in enumerate(words):
         groups.setdefault(len(w), []).append(k)
-    get, unknown = _starts(known).get, len(known)
-    row = LONGEST + 1
+    starts, longest = _starts(known)
+    get, unknown = starts.get, len(known)
+    row = longest + 1
     for length, places in groups.items():
         step = max(1, 400_000 // length)
         for at in range(0, len(places), step):
@@ -90,7 +114,7 @@ def _by_length(words: list[str], known: dict[str, int]) -> Iterator[tuple[np.nda
                     if get(w[start : start + 1], -1) < 0:
                         where.append(at_end)
                         found.append(unknown)
-                    for n in range(1, min(length - start, LONGEST) + 1):
+                    for n in range(1, min(length - start, longest) + 1):
                         piece = get(w[start : start + n])
                         if piece is None:
                             break
@@ -102,14 +126,21 @@ def _by_length(words: list[str], known: dict[str, int]) -> Iterator[tuple[np.nda
             yield np.array(part), ids.reshape(len(part), length + 1, row)
 
 
+def _used(ids: np.ndarray) -> list[list[int]]:
+    """For each end: the lengths of the pieces that end there in any word."""
+    return [np.flatnonzero(x).tolist() for x in (ids >= 0).any(axis=0)]
+
+
 def _forward(ids: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward sums alpha[word, end, language], scaled at each end, and the logarithms
     of the scales.  p[piece, language] has a last row of zeros for no piece."""
     count, ends, _ = ids.shape
     alpha, logs = np.zeros((count, ends, p.shape[1])), np.zeros((count, ends))
     alpha[:, 0] = 1
-    for end in range(1, ends):
-        for n in range(1, min(end, LONGEST) + 1):
+    for end, lengths in enumerate(_used(ids)):
+        if not end:
+            continue
+        for n in lengths:
             # alpha at an earlier end is in that end's scale
             alpha[:, end] += alpha[:, end - n] * np.exp(logs[:, end - n] - logs[:, end - 1])[:, None] * p[ids[:, end, n]]
         top = alpha[:, end].max(axis=1)
@@ -118,6 +149,25 @@ def _forward(ids: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return alpha, logs
 
 
+def _backward(ids: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the word's end, for p of one language: beta[word, start]."""
+    count, ends, _ = ids.shape
+    beta, logs = np.zeros((count, ends)), np.zeros((count, ends))
+    beta[:, -1] = 1
+    # A piece that starts at s and has n characters ends at s + n.
+    starting: list[list[int]] = [[] for _ in range(ends)]
+    for end, lengths in enumerate(_used(ids)):
+        for n in lengths:
+            starting[end - n].append(n)
+    for start in range(ends - 2, -1, -1):
+        for n in starting[start]:
+            beta[:, start] += beta[:, start + n] * np.exp(logs[:, start + n] - logs[:, start + 1]) * p[ids[:, start + n, n], 0]
+        top = beta[:, start].copy()
+        beta[:, start] /= top
+        logs[:, start] = logs[:, start + 1] + np.log(top)
+    return beta, logs
+
+
 def log_likelihoods(words: list[str], known: dict[str, int], p: np.ndarray) -> np.ndarray:
     """log of the sum over all segmentations, for each word and language."""
     out = np.zeros((len(words), p.shape[1]))
@@ -133,126 +183,171 @@ def log_likelihoods(words: list[str], known: dict[str, int], p: np.ndarray) -> n
 
 def _long(word: str, known: dict[str, int], p: np.ndarray) -> np.ndarray:
     """The same for one word of any length, keeping the last sums only."""
+    longest = _starts(known)[1]
     sums, log = [np.ones(p.shape[1])], 0.0
     for end in range(1, len(word) + 1):
         total = np.zeros(p.shape[1])
-        for n in range(1, min(end, LONGEST) + 1):
+        for n in range(1, min(end, longest) + 1):
             found = known.get(word[end - n : end], len(known) if n == 1 else None)
             if found is not None:
                 total = total + sums[-n] * p[found]
         top = total.max()
         log += np.log(top)
-        sums = [s / top for s in [*sums, total][-LONGEST:]]
+        sums = [s / top for s in [*sums, total][-longest:]]
     return np.log(np.maximum(sums[-1], 1e-300)) + log
 
 
 def _expected(words: list[str], weight: np.ndarray, known: dict[str, int], p: np.ndarray) -> np.ndarray:
-    """Expected piece counts of weighted words in one language: forward times backward."""
+    """Expected piece counts of weighted words in one language: forward times backward.
+    Both are scaled, so that words may be of any length."""
     total = np.zeros(len(known) + 2)
     for places, ids in _by_length(words, known):
-        count, ends, _ = ids.shape
-        alpha, beta = np.zeros((count, ends)), np.zeros((count, ends))
-        alpha[:, 0] = beta[:, -1] = 1
-        for end in range(1, ends):
-            for n in range(1, min(end, LONGEST) + 1):
-                alpha[:, end] += alpha[:, end - n] * p[ids[:, end, n], 0]
-        for end in range(ends - 1, 0, -1):
-            for n in range(1, min(end, LONGEST) + 1):
-                beta[:, end - n] += beta[:, end] * p[ids[:, end, n], 0]
-        each = weight[places] / alpha[:, -1]
-        for end in range(1, ends):
-            for n in range(1, min(end, LONGEST) + 1):
-                own = ids[:, end, n]
-                total += np.bincount(np.where(own < 0, len(known) + 1, own), each * alpha[:, end - n] * p[own, 0] * beta[:, end], len(known) + 2)
+        (alpha, logs), (beta, back) = _forward(ids, p), _backward(ids, p)
+        for end, lengths in enumerate(_used(ids)):
+            for n in lengths:
+                own, start = ids[:, end, n], end - n
+                scale = np.exp(logs[:, start] + back[:, end] - logs[:, -1])
+                share = alpha[:, start, 0] * p[own, 0] * beta[:, end] * scale / alpha[:, -1, 0]
+                total += np.bincount(np.where(own < 0, len(known) + 1, own), weight[places] * share, len(known) + 2)
     total[-1] = 0
     return total
 
 
 def fit(counts: dict[str, dict[str, int]], known: dict[str, int]) -> tuple[list[str], np.ndarray]:
-    """Languages, and p[piece, language] with rows for the unknown sign and for no piece."""
+    """Languages, and p[piece, language] with rows for the unknown sign and for no piece;
+    the last column is the model of equal pieces."""
     languages = sorted(counts)
-    out = np.zeros((len(known) + 2, max(1, len(languages))))
-    for k, language in enumerate(languages):
-        words = [w for w in counts[language] if len(w) <= SHORT]
-        weight = np.array([counts[language][w] for w in words], float)
+    out = np.zeros((len(known) + 2, len(languages) + 1))
+    for k, language in enumerate([*languages, None]):
         p = np.zeros((len(known) + 2, 1))
-        p[:-1, 0] = 1 / len(known)
-        for _ in range(ROUNDS):
-            expected = _expected(words, weight, known, p) + PRIOR
-            expected[-1] = 0
-            p[:, 0] = expected / expected.sum()
-            p[-2, 0] = UNKNOWN
+        p[:-1, 0] = 1 / max(1, len(known))
+        if language is not None:
+            words = list(counts[language])
+            weight = np.array([counts[language][w] for w in words], float)
+            for _ in range(ROUNDS):
+                expected = _expected(words, weight, known, p) + PRIOR
+                expected[-1] = 0
+                p[:, 0] = expected / expected.sum()
+                p[-2, 0] = UNKNOWN
+        p[-2, 0] = UNKNOWN
         out[:, k] = p[:, 0]
     return languages, out
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, text to the task's words and their counts."""
+    held: dict[str, Counter] = {}
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+            held.setdefault(lang, Counter()).update(words_of(text.as_py()))
+    for lang, count in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(count), pa.string()), pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["lang", "word", "n"])
+
+
 def sample_counts(docs: DataFrame) -> dict[str, dict[str, int]]:
-    """Word counts of a bounded sample of documents with a language: the SAMPLE of
-    least hash in each; the ranking is cut map-side, so that no language's rows meet."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = docs.where(F.col("lang").isNotNull()).select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= SAMPLE)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "lang")), "doc_id")
-    words = texts.select("lang", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{M}]+")).alias("word")).where("word <> ''")
-    counts = words.groupBy("lang", "word").count()
-    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
-    found: dict[str, dict[str, int]] = {}
-    for r in counts.withColumn("rank", top).where(F.col("rank") <= SAMPLE_WORDS).toLocalIterator():
-        found.setdefault(r.lang, {})[START + r.word] = r["count"]
-    return found
+    """Counts of all words of a bounded sample of documents with a language: whole ones
+    of least hash, SAMPLE a language and SAMPLE_BYTES together (a longer one alone can't
+    be chosen).  A first pass counts documents by language and sets the hash below
+    which about twice the sample lies; no language's rows meet in a task."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    rows = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("lang").cast("string").alias("lang"), "text", place.alias("place"))
+    totals = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
+    spark = docs.sparkSession
+    limits = spark.createDataFrame([(r.lang, min(1 << 40, (1 << 40) * 2 * SAMPLE // r.n + 1)) for r in totals], "lang string, most long")
+    near = rows.join(F.broadcast(limits), "lang").where(F.col("place") < F.col("most"))
+    sizes = near.select("lang", "place", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    chosen: list[tuple[str, int]] = []
+    left: dict[str, list[int]] = {}
+    for r in sorted(sizes.collect(), key=lambda r: (r.lang, r.place, r.doc_id)):  # about 2 * SAMPLE a language
+        room = left.setdefault(r.lang, [SAMPLE, SAMPLE_BYTES])
+        if room[0] and r["size"] <= room[1]:
+            chosen.append((r.lang, r.doc_id))
+            room[0] -= 1
+            room[1] -= r["size"]
+    if not chosen:
+        return {}
+    own = spark.createDataFrame(sorted(set(chosen)), "lang string, doc_id long")
+    texts = near.join(F.broadcast(own), ["lang", "doc_id"]).select("lang", "text")
+    found: dict[str, dict[str, int]] = {lang: {} for lang in left}
+    counts = texts.mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    for r in counts.toLocalIterator():
+        found[r.lang][r.word] = r.n
+    return {lang: words for lang, words in found.items() if words}
+
+
+class _Memory:
+    """Rows of log-likelihoods of the words a task has met, bounded in words and characters."""
+
+    def __init__(self, known: dict[str, int], p: np.ndarray) -> None:
+        self.known, self.p = known, p
+        self.place: dict[str, int] = {}
+        self.rows, self.characters = np.zeros((1024, p.shape[1])), 0
+
+    def learn(self, cut: list[list[str]]) -> None:
+        words = set().union(*cut)
+        new = [w for w in words if w not in self.place]
+        if len(self.place) + len(new) > REMEMBERED or self.characters + sum(map(len, new)) > REMEMBERED_CHARACTERS:
+            self.place, self.characters, new = {}, 0, list(words)
+        at = len(self.place)
+        self.characters += sum(map(len, new))
+        self.place.update((w, at + i) for i, w in enumerate(new))
+        if len(self.place) > len(self.rows):
+            grown = np.zeros((2 * len(self.place), self.rows.shape[1]))
+            grown[:at] = self.rows[:at]
+            self.rows = grown
+        if new:
+            self.rows[at : at + len(new)] = log_likelihoods(new, self.known, self.p)
 
 
 def _predictor(languages: list[str], p: np.ndarray, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pieces(path)
-        place: dict[str, int] = {}
-        table_ = np.zeros((0, p.shape[1]))
+        memory = _Memory(pieces(path), p)
         for batch in batches:
             for part in slices(batch, "text"):
                 cut = [words_of(t) for t in part.column("text").to_pylist()]
-                new = list(set().union(*cut) - place.keys())
-                if len(place) + len(new) > REMEMBERED:
-                    place, table_ = {}, np.zeros((0, p.shape[1]))
-                    new = list(set().union(*cut))
-                place |= {w: len(table_) + i for i, w in enumerate(new)}
-                if new:
-                    table_ = np.concatenate((table_, log_likelihoods(new, known, p)))
+                memory.learn(cut)
                 sizes = np.array([len(words) for words in cut])
-                rows = np.fromiter(map(place.__getitem__, itertools.chain.from_iterable(cut)), np.int64, sizes.sum())
-                sums = np.concatenate((np.zeros((1, p.shape[1])), table_[rows].cumsum(axis=0)))[np.append(0, sizes.cumsum())]
-                said, sure = [], []
+                rows = np.fromiter(map(memory.place.__getitem__, itertools.chain.from_iterable(cut)), np.int64, sizes.sum())
+                sums = np.concatenate((np.zeros((1, p.shape[1])), memory.rows[rows].cumsum(axis=0)))[np.append(0, sizes.cumsum())]
+                said, sure, leads = [], [], []
                 for words, total in zip(cut, np.diff(sums, axis=0)):
-                    if not languages or not any(c.isalpha() for w in words for c in w[1:]):
+                    if not languages or not words:
                         said.append("und")
                         sure.append(0.0)
+                        leads.append(0.0)
                         continue
-                    share = np.exp((total - total.max()) / len(words))
-                    said.append(languages[int(total.argmax())])
+                    own = total[:-1]
+                    share = np.exp((own - own.max()) / len(words))
+                    said.append(languages[int(own.argmax())])
                     sure.append(float(share.max() / share.sum()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(said, pa.string()), pa.array(sure, pa.float64())], ["doc_id", "lang_pred", "score"])
+                    leads.append(float((own.max() - total[-1]) / len(words)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(said, pa.string()), pa.array(sure, pa.float64()), pa.array(leads, pa.float64())], ["doc_id", "lang_pred", "score", "lead"])
 
     return run
 
 
 def identify(docs: DataFrame, labelled: DataFrame, path: str | None = None) -> DataFrame:
-    """Return (doc_id, lang_pred, score) for each row of ``docs`` (doc_id, text); the
+    """Return (doc_id, lang_pred, score, lead) for each row of ``docs`` (doc_id, text); the
     languages are those of ``labelled`` (doc_id, text, lang); other columns are ignored.
 
-    ``score`` is the language's share of the likelihood of a mean word.  Null, empty
-    and letterless texts, and all texts if nothing is labelled, are 'und' with score
-    0; ties go to the first language by name.  Rows are independent; an empty table
-    gives an empty result.
+    ``score`` is the language's share of the likelihood of a mean word; ``lead`` is
+    the log of a mean word's likelihood in it less that by equal pieces: of 0 or
+    less, the text is in no learned language.  Null, empty and letterless texts, and all
+    texts if nothing is labelled, are 'und' with score and lead 0; ties go to the first
+    language by name.  A null doc_id is no label's and is scored like others.  Rows
+    are independent; an empty table gives an empty result.
     """
     path = path or default_vocabulary()
     languages, p = fit(sample_counts(labelled), pieces(path))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(_predictor(languages, p, path), "doc_id long, lang_pred string, score double")
+    return texts.mapInArrow(_predictor(languages, p, path), "doc_id long, lang_pred string, score double, lead double")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     found = identify(docs, docs.where(~held_out))
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "lead")
 
 
 QUERIES = {"op7_language_id": op7}
