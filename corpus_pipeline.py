@@ -5,7 +5,8 @@ that the stage before kept, and returns a DataFrame; ``run`` writes each as Parq
 in the shared folder and reads it back as the next stage's docs.  All but the last
 return the columns of documents.  A null or empty text has no language and goes at
 the first stage; repeated rows are exact copies and one stays; an empty table passes
-through as an empty table; extra columns are carried along.
+through as an empty table; extra columns are carried along.  A document without a doc_id
+can't be told from others and goes at the first stage.
 """
 
 from __future__ import annotations
@@ -16,14 +17,12 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, decontaminate, language_id, near_dedup, secrets
 from tessera.llm.common import table, write_shared
 
-#: Share of a mean word's likelihood below which a document has no clear language.
-LEAST_LANGUAGE_SCORE = 0.26
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language; those without letters or a clear language go."""
+    """Documents of a learned language; those without letters, or that equal pieces
+    explain better than any language does, go, however many languages there are."""
     found = language_id.identify(docs, docs)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("doc_id").distinct()
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("lead") > 0)).select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
