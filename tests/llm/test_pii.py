@@ -60,6 +60,35 @@ def test_model_tells_examples_apart():
     assert y[chosen].mean() > 0.93 and chosen[y == 1].mean() > 0.6
 
 
+def test_planted_spans_and_prose(spark):
+    """Precision and recall of added spans in the corpus's own prose, where none is but those planted."""
+    rnd = random.Random(12)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 100").orderBy("doc_id").collect()]
+    made = ["bob at firm.com", "anna.lee[at]uni[dot]edu", "joe (at) site (dot) com", "kim99 at mail dot net", "(212) 555-0199", "212-555-0199", "030 12 34 56 78", "DE89 3704 0044 0532 0130 00"]
+    rows, want = [], set()
+    for i, text in enumerate(texts):
+        words = text.split(" ")
+        at = rnd.randint(0, len(words))
+        value = made[i % len(made)] if i % 2 else None
+        head = " ".join(words[:at]) + " "
+        if value:
+            want.add((i, len(head), len(head) + len(value)))
+        rows.append((i, head + (value + " " if value else "") + " ".join(words[at:])))
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r.doc_id, s.start, s.end) for r in found for s in r.spans if s.kind in pii.ADDED}
+    assert len(got & want) > 0.95 * len(want) and len(got - want) < 0.01 * len(want), (len(want), len(got & want), sorted(got - want)[:9])
+
+
+def test_addresses_without_a_gate():
+    """A text's other words don't decide whether an address is proposed."""
+    texts = ["mail bob at firm.com now", "mail bob at firm.com now. x at y dot z", "a" * 200 + " at " + "b" * 200 + ".com"]
+    assert all((5, t.index("bob"), t.index("com") + 3) in pii.candidates(t) for t in texts[:2])
+    assert (5, 0, len(texts[2])) in pii.candidates(texts[2])
+    trees, thresholds = pii.model()
+    for prose in ("thingonsh tothatinti at and. That to", "we met at home. That was", "looked at it.then went"):
+        assert all(trees.probability(np.array([pii.features(prose, c)]))[0] < thresholds[c[0]] for c in pii.candidates(prose))
+
+
 def test_edges(spark):
     schema = "doc_id long, text string"
     assert pii.find(spark.createDataFrame([], schema)).collect() == []
