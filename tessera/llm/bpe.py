@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import slices, table
 
-#: Words whose tokens a task remembers.
+#: Words whose tokens a task remembers, and their characters.
 REMEMBERED = 400_000
+REMEMBERED_CHARACTERS = 16 << 20
 #: Words of up to so many bytes are merged by plain rescans, longer ones with a heap.
 SHORT = 48
 _NEVER = np.int64(2**40)
@@ -188,15 +189,18 @@ class WordMemory(dict):
 
     def __init__(self, made: Callable[[list[str]], list]) -> None:
         self.made = made
+        self.characters = 0
 
     def learn(self, cut: list[list[str]]) -> None:
         """Have an entry for each of these words; forget the others when there are many."""
         words = set().union(*cut)
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > REMEMBERED:
+        self.characters += sum(map(len, new))
+        if len(self) + len(new) > REMEMBERED or self.characters > REMEMBERED_CHARACTERS:
             kept = {w: self[w] for w in words if w in self}
             self.clear()
             dict.update(self, kept)
+            self.characters = sum(map(len, words))
         dict.update(self, zip(new, self.made(new)))
 
 

@@ -214,7 +214,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     (doc_id long, text string; other columns are ignored).
 
     Null, empty and wordless texts have an empty set and are linked with nothing;
-    repeated rows come out as often as they came in; an empty table gives none.
+    repeated rows come out as often as they came in; an empty table gives none.  A row
+    with a null doc_id is never kept; it is in the component of its text's other
+    rows, and if none of those has a doc_id, its component_id is null and it is
+    linked with nothing else.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = write_shared(docs.mapInArrow(_signed, "doc_id long, n_shingles long, digest string, tokens array<long>"), "signed")
@@ -265,7 +268,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whole = whole.union(lone)
     placed = classes.join(whole, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id"))
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return placed.union(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return placed.union(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,8 +150,8 @@ def score(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:
     (doc_id, quality; the least of a repeated doc_id); other columns are ignored.
 
     Null texts count as empty ones, which get the score of a chunk of filling.  With
-    nothing labelled the network is untrained.  Rows are independent; an empty table
-    gives an empty result.
+    nothing labelled the network is untrained.  A null doc_id is no label's, and is
+    scored like others.  Rows are independent; an empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return texts.mapInArrow(_scored(train(labelled, labels)), "doc_id long, score double")
@@ -159,7 +159,7 @@ def score(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     found = score(docs, docs.where(~held_out), labels.where(~held_out))
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 

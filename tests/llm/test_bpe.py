@@ -64,3 +64,14 @@ def test_tables(spark):
     assert bpe.encode_decode(empty).collect() == []
     twice = spark.createDataFrame([(None, "a"), (1, "a"), (1, "a")], "doc_id long, text string").withColumn("ids", F.lit(1))
     assert [r.ids for r in bpe.encode_decode(twice).collect()] == ["64"] * 3
+
+
+def test_memory_is_bounded_in_characters(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_CHARACTERS", 1000)
+    memory = bpe.WordMemory(lambda words: [w.upper() for w in words])
+    for i in range(200):
+        cut = [["common", f"{'junk' * 20}{i}"]]
+        memory.learn(cut)
+        assert all(memory[w] == w.upper() for w in cut[0])
+        assert sum(map(len, memory)) <= 1000
+    assert "common" in memory

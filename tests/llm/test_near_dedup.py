@@ -73,6 +73,12 @@ def test_edges(spark):
     assert rows == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
 
 
+def test_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (7, "A b c d e f"), (None, "lone text of no id here"), (None, None), (3, "")], SCHEMA)
+    rows = sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_dedup.near_duplicates(docs).collect()))
+    assert rows == [(0, 0, 0, False), (0, 2, 0, False), (0, 2, 7, False), (3, 0, 3, True), (7, 2, 7, True)]
+
+
 @pytest.mark.parametrize("text", ["word " * 50_000, "x" * 400_000])
 def test_very_long(spark, text):
     got = found(spark.createDataFrame([(1, text), (2, text + " y")], SCHEMA))

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -22,6 +24,45 @@ def test_convolution_against_loops():
         assert np.allclose(got[1, place], want, atol=1e-5)
 
 
+def test_scores_against_loops(spark):
+    """The whole query's path by loops over bytes, chunks and filters; null ids and clashing columns."""
+    network = cnn.Network()
+    network.bias = np.float32(0.3)
+    texts = ["", "short é text", "abc " * 300, None]
+    docs = spark.createDataFrame([(i if i else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    got = {r.doc_id: r.score for r in docs.select("doc_id", "text").mapInArrow(cnn._scored(network), "doc_id long, score double").collect()}
+    for i, text in enumerate(texts):
+        data, step, tops = list((text or "").encode()), cnn.CHUNK - cnn.OVERLAP, []
+        at = 0
+        while not tops or at + cnn.OVERLAP < len(data):
+            chunk = (data[at : at + cnn.CHUNK] + [255] * cnn.CHUNK)[: cnn.CHUNK]
+            places = range(0, cnn.CHUNK - cnn.WIDTH + 1, cnn.STRIDE)
+            tops.append([max(0.0, max(sum(float(network.taps[k, chunk[p + k], f]) for k in range(cnn.WIDTH)) for p in places)) for f in range(cnn.FILTERS)])
+            at += step
+        parts = [max(c) for c in zip(*tops)] + [sum(c) / len(tops) for c in zip(*tops)]
+        z = sum(float(w) * v for w, v in zip(network.weight, parts)) + float(network.bias)
+        assert abs(got[i or None] - 1 / (1 + math.exp(-z))) < 1e-5
+    labels = spark.createDataFrame([(1, 1), (None, 0)], "doc_id long, quality int")
+    assert sorted(r.doc_id or 0 for r in cnn.score(docs, docs, labels).collect()) == [0, 1, 2, 3]
+
+
+def test_training_lowers_the_loss():
+    """Of documents of one chunk and of several."""
+    rnd = np.random.default_rng(1)
+    docs = [cnn.chunked(bytes(rnd.integers(97, 123, n).astype(np.uint8))) for n in (40, 700, 1500, 90)]
+    y = np.array([0, 1, 1, 0], np.float32)
+
+    def loss(net):
+        chunks = np.concatenate(docs)
+        starts = np.cumsum([0, *map(len, docs)])[:-1]
+        p = net.combined(net.pooled(chunks), starts)
+        return -np.mean(np.where(y == 1, np.log(p), np.log(1 - p)))
+
+    before = cnn.Network()
+    after = cnn.Network().fit(docs, y)
+    assert loss(after) < 0.5 * loss(before)
+
+
 def test_learns_and_reads_the_whole_text(spark):
     words = [f"text number {i} about the house and the garden of the town " * 6 for i in range(120)]
     docs = [(i, w if i % 3 else "$$$ %%% !!! " * 30, int(i % 3 > 0)) for i, w in enumerate(words)]
