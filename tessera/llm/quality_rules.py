@@ -13,15 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, write_shared
+from tessera.llm.common import maybe_in, table, write_shared
 
-BUCKETS = 1 << 22
-#: Weights that a row of the broadcast table holds.
-PACKED = 64
+BUCKETS = 1 << 18
 #: Added to each bucket's count in the raw corpus, and in proportion in the target.
 SMOOTHING = 10
 #: Mean log ratio below which a document goes.
-THRESHOLD = -0.25
+THRESHOLD = -0.2
 #: Log ratios are rounded to a thousandth, so that sums don't depend on their order.
 SCALE = 1000
 SPACE = r"[\x20\x09-\x0D]+"
@@ -47,21 +45,23 @@ def _grams(rows: DataFrame) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(part, weights): the log ratios target to raw, in thousandths, of PACKED
-    buckets a row; at most BUCKETS / PACKED rows, some 13 MB, whatever the corpus."""
+    """(bucket, weight): the log ratio target to raw, in thousandths, as a long; at
+    most BUCKETS rows, some 12 MB, whatever the corpus."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id").distinct()
-    good = good.withColumn("trusted", F.lit(1))
-    texts = docs.select("doc_id", "text").join(good, "doc_id", "left").select("trusted", words_of(F.col("text")).alias("w"))
-    grams = _grams(texts).select("trusted", F.explode(F.array("one", "pair")).alias("bucket")).where(F.col("bucket").isNotNull())
-    counts = grams.groupBy("bucket").agg(F.count("trusted").alias("target"), F.count("*").alias("raw"))
+    texts = docs.select("doc_id", "text")
+    # Only texts that may be trusted are shuffled to meet the trusted ids.
+    trusted = maybe_in(texts, "doc_id", good).join(good.hint("shuffle_hash"), "doc_id")
+
+    def counted(rows: DataFrame, raw: int, target: int) -> DataFrame:
+        grams = _grams(rows.select(words_of(F.col("text")).alias("w"))).select(F.explode(F.array("one", "pair")).alias("bucket"))
+        return grams.where(F.col("bucket").isNotNull()).groupBy("bucket").agg((raw * F.count("*")).alias("raw"), (target * F.count("*")).alias("target"))
+
+    counts = counted(texts, 1, 0).union(counted(trusted, 0, 1)).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     counts = write_shared(counts, "grams")
     total = counts.agg(F.sum("target").alias("t"), F.sum("raw").alias("r")).first()
     # (t / T + k / R) / (r / R + k / R), the shares' common denominators left out.
     ratio = (F.col("target") * F.lit(float(total.r) / total.t) + SMOOTHING) / (F.col("raw") + SMOOTHING) if total.t else F.lit(1.0)
-    slot = F.struct((F.col("bucket") % PACKED).alias("slot"), F.round(SCALE * F.log(ratio)).cast("short").alias("weight"))
-    packed = counts.groupBy(F.floor(F.col("bucket") / PACKED).cast("int").alias("part")).agg(F.map_from_entries(F.collect_list(slot)).alias("own"))
-    weights = F.transform(F.sequence(F.lit(0), F.lit(PACKED - 1)), lambda i: F.coalesce(F.try_element_at("own", i), F.lit(0).cast("short")))
-    return packed.select("part", weights.alias("weights"))
+    return counts.select("bucket", F.round(SCALE * F.log(ratio)).cast("long").alias("weight"))
 
 
 def _let(value: Column, body) -> Column:
@@ -112,15 +112,14 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
         words_of(F.col("text")).alias("w"),
     ).withColumn("n_repeat_words", repeated_words(F.col("w")))
     own = ["doc_id", "row", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    grams = _grams(rows).select(*own, F.char_length(F.get("w", F.col("at"))).alias("chars"), "one", "pair")
-    for kind in ("one", "pair"):
-        part = weights.select(F.col("part").alias(f"{kind}_part"), F.col("weights").alias(f"{kind}_weights"))
-        grams = grams.join(F.broadcast(part), F.floor(F.col(kind) / PACKED).cast("int") == F.col(f"{kind}_part"), "left")
-    weight = lambda kind: F.coalesce(F.get(f"{kind}_weights", F.col(kind) % PACKED), F.lit(0)).cast("long")
-    per_doc = grams.groupBy(*own).agg(
-        F.count("chars").alias("n_words"),
-        F.coalesce(F.sum("chars"), F.lit(0)).cast("long").alias("word_chars"),
-        F.coalesce(F.sum(weight("one") + weight("pair")) / F.nullif(F.count("one") + F.count("pair"), F.lit(0)) / SCALE, F.lit(0.0)).alias("score"),
+    # Each word gives two rows; its characters and its count come from the first.
+    grams = _grams(rows).select(*own, F.char_length(F.get("w", F.col("at"))).alias("chars"), F.posexplode(F.array("one", "pair")).alias("kind", "bucket"))
+    weighed = grams.join(F.broadcast(weights), "bucket", "left")
+    first = F.col("kind") == 0
+    per_doc = weighed.groupBy(*own).agg(
+        F.count(F.when(first, F.col("chars"))).alias("n_words"),
+        F.coalesce(F.sum(F.when(first, F.col("chars"))), F.lit(0)).cast("long").alias("word_chars"),
+        F.coalesce(F.sum("weight") / F.count("bucket") / SCALE, F.lit(0.0)).alias("score"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return per_doc.select(
