@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import slices, table
 
 #: Words whose tokens a task remembers, and their characters.
-REMEMBERED = 400_000
-REMEMBERED_CHARACTERS = 16 << 20
+REMEMBERED = 250_000
+REMEMBERED_CHARACTERS = 8 << 20
 #: Words of up to so many bytes are merged by plain rescans, longer ones with a heap.
 SHORT = 48
 _NEVER = np.int64(2**40)

@@ -34,8 +34,8 @@ ROUNDS = 3
 #: Words of up to so many characters are scored together.
 SHORT = 40
 #: Words whose scores a task remembers, and their characters.
-REMEMBERED = 400_000
-REMEMBERED_CHARACTERS = 16 << 20
+REMEMBERED = 250_000
+REMEMBERED_CHARACTERS = 8 << 20
 #: Added to each piece's expected count, and the share of a sign without a piece.
 PRIOR = 0.02
 UNKNOWN = 1e-7
@@ -103,7 +103,7 @@ def _by_length(words: list[str], known: dict[str, int]) -> Iterator[tuple[np.nda
     get, unknown = starts.get, len(known)
     row = longest + 1
     for length, places in groups.items():
-        step = max(1, 400_000 // length)
+        step = max(1, 100_000 // length)
         for at in range(0, len(places), step):
             part = places[at : at + step]
             where, found = [], []
@@ -292,7 +292,7 @@ class _Memory:
         self.characters += sum(map(len, new))
         self.place.update((w, at + i) for i, w in enumerate(new))
         if len(self.place) > len(self.rows):
-            grown = np.zeros((2 * len(self.place), self.rows.shape[1]))
+            grown = np.zeros((len(self.place) * 3 // 2, self.rows.shape[1]))
             grown[:at] = self.rows[:at]
             self.rows = grown
         if new:
@@ -308,9 +308,12 @@ def _predictor(languages: list[str], p: np.ndarray, path: str):
                 memory.learn(cut)
                 sizes = np.array([len(words) for words in cut])
                 rows = np.fromiter(map(memory.place.__getitem__, itertools.chain.from_iterable(cut)), np.int64, sizes.sum())
-                sums = np.concatenate((np.zeros((1, p.shape[1])), memory.rows[rows].cumsum(axis=0)))[np.append(0, sizes.cumsum())]
+                totals = np.zeros((len(cut), p.shape[1]))
+                if len(rows):
+                    some = sizes > 0
+                    totals[some] = np.add.reduceat(memory.rows[rows], (sizes.cumsum() - sizes)[some])
                 said, sure, leads = [], [], []
-                for words, total in zip(cut, np.diff(sums, axis=0)):
+                for words, total in zip(cut, totals):
                     if not languages or not words:
                         said.append("und")
                         sure.append(0.0)
