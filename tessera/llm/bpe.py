@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, table
+from tessera.llm.common import slices, table, trimmed
 
 #: Words whose tokens a task remembers, and their characters.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 REMEMBERED_CHARACTERS = 8 << 20
 #: Words of up to so many bytes are merged by plain rescans, longer ones with a heap.
 SHORT = 48
@@ -251,7 +251,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or default_vocabulary()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    coded = texts.mapInArrow(encoder(path), "doc_id long, ids string, decoded string")
+    coded = texts.mapInArrow(trimmed(encoder(path)), "doc_id long, ids string, decoded string")
     commas = F.octet_length("ids") - F.octet_length(F.replace("ids", F.lit(","), F.lit("")))
     n_tokens = F.when(F.col("ids") == "", 0).otherwise(commas + 1).cast("long")
     return coded.select("doc_id", n_tokens.alias("n_tokens"), "ids", "decoded")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -75,6 +76,20 @@ def maybe_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return maybe_marked(df, column, ids, "_maybe").where("_maybe").select(*df.columns)
 
 
+def trimmed(run):
+    """``run``, a function of mapInArrow; once a task is through, what it has freed goes
+    back to the system, so that reused workers hold no memory of earlier tasks."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about SLICE_BYTES of ``column``, so that a batch of
     very long texts isn't held several times over."""

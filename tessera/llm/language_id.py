@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, table
+from tessera.llm.common import slices, table, trimmed
 
 #: Labelled documents that a language is fitted on: whole ones in order of hash, at most
 #: so many and of at most so many bytes together.
@@ -343,7 +343,7 @@ def identify(docs: DataFrame, labelled: DataFrame, path: str | None = None) -> D
     path = path or default_vocabulary()
     languages, p = fit(sample_counts(labelled), pieces(path))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(_predictor(languages, p, path), "doc_id long, lang_pred string, score double, lead double")
+    return texts.mapInArrow(trimmed(_predictor(languages, p, path)), "doc_id long, lang_pred string, score double, lead double")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import delete_shared, maybe_in, slices, table, write_shared
+from tessera.llm.common import delete_shared, maybe_in, slices, table, trimmed, write_shared
 
 WORDS = 5
 COORDS = 32
@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked with nothing else.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = write_shared(docs.mapInArrow(_signed, "doc_id long, n_shingles long, digest string, tokens array<long>"), "signed")
+    signed = write_shared(docs.mapInArrow(trimmed(_signed), "doc_id long, n_shingles long, digest string, tokens array<long>"), "signed")
     # The sides of joins on keys that may be hot are tables: then Spark can split a hot key.
     first = write_shared(signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id")), "first")
     classes = write_shared(signed.select("doc_id", "n_shingles", "digest").join(first, "digest"), "classes").select("doc_id", "n_shingles", "class_id")
