@@ -2,12 +2,15 @@
 
 The index is a DataFrame: build it once, write it as Parquet partitioned as you like,
 and search it with joins.  Terms are lower-cased runs of letters, digits and _ of at
-least two characters; CJK text gives its 1- to 3-character pieces.
+least two characters; CJK text gives its 1- to 3-character pieces.  Queries are cut alike.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: BM25's fixed constants, and those of fuzzy matching.
@@ -42,47 +45,66 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def query_terms(query: str) -> list[str]:
-    import re
+    """The query's Latin terms in order, cut as ``terms`` cuts a text."""
+    return [t for t in regex.split(r"[^\p{L}\p{N}_]+", query.lower()) if len(t) >= 2 and not regex.search(_CJK, t)]
+
 
-    return [t for t in re.split(r"[^\w]+", query.lower()) if len(t) >= 2]
+def query_pieces(query: str) -> list[str]:
+    """The CJK pieces a document must hold: a run of up to three signs whole, of a
+    longer one all pieces of three."""
+    runs = regex.findall(f"{_CJK}+", query)
+    return sorted({run[i : i + 3] for run in runs for i in range(max(1, len(run) - 2))})
 
 
 def match(index: DataFrame, query: str) -> DataFrame:
-    """(doc) that hold all terms; in quotes: one after another."""
-    wanted = query_terms(query)
+    """(doc) that hold all terms; in quotes: one after another.  A query without a term
+    finds nothing.  CJK pieces have no positions: in quotes too, all must be there."""
+    words, pieces = query_terms(query), query_pieces(query)
+    wanted = sorted({*words, *pieces})
+    if not wanted:
+        return index.where("false").select("doc")
     own = index.where(F.col("term").isin(*wanted))
-    if query.strip().startswith('"') and query.strip().endswith('"'):
-        # A start must be there for every term, each shifted by its place.
-        rows = None
-        for i, t in enumerate(wanted):
-            part = own.where(F.col("term") == t).select("doc", F.explode("positions").alias("at")).select("doc", (F.col("at") - i).alias("at"), F.lit(i).alias("place"))
-            rows = part if rows is None else rows.union(part)
-        hit = rows.groupBy("doc", "at").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted))
-        return hit.select("doc").distinct()
-    return own.groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") == len(set(wanted))).select("doc")
-
-
-def fuzzy_terms(index: DataFrame, term: str) -> DataFrame:
-    """(term) of the vocabulary within the edit distance, the nearest few."""
-    vocabulary = index.select("term").distinct()
-    edits = F.levenshtein("term", F.lit(term), FUZZY_EDITS)
-    near = vocabulary.withColumn("edits", edits).where("edits >= 0")
-    similarity = 1 - F.col("edits") / F.greatest(F.char_length("term"), F.lit(len(term)))
-    return near.where(similarity >= FUZZY_SIMILARITY).orderBy("edits", "term").limit(FUZZY_TERMS).select("term")
-
-
-def fuzzy_match(index: DataFrame, query: str) -> DataFrame:
-    """(doc): for every query term one of its near terms."""
-    rows, wanted = None, query_terms(query)
-    for i, t in enumerate(wanted):
-        part = index.join(F.broadcast(fuzzy_terms(index, t)), "term").select("doc", F.lit(i).alias("place"))
-        rows = part if rows is None else rows.union(part)
-    return rows.distinct().groupBy("doc").count().where(F.col("count") == len(wanted)).select("doc")
+    held = own.groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("doc")
+    if len(words) < 2 or not regex.fullmatch(r'\s*".*"\s*', query, regex.DOTALL):
+        return held
+    # A start must be there for every term, each shifted by its place.
+    places = F.array(*[F.struct(F.lit(t).alias("word"), F.lit(i).alias("place")) for i, t in enumerate(words)])
+    starts = own.select("doc", "term", F.explode("positions").alias("at")).select("doc", "term", "at", F.explode(places).alias("p")).where("term = p.word")
+    hit = starts.groupBy("doc", (F.col("at") - F.col("p.place")).alias("start")).agg(F.count("*").alias("n")).where(F.col("n") == len(words))
+    return hit.select("doc").distinct().join(held, "doc", "left_semi") if pieces else hit.select("doc").distinct()
+
+
+def fuzzy_terms(index: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """(place, term): for each wanted term the nearest few of the vocabulary within the
+    edit distance; the vocabulary is gone through once for all of them."""
+    each = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(t).alias("word")) for i, t in enumerate(wanted)])
+    met = index.select("term").distinct().select("term", F.explode(each).alias("q")).select("term", "q.place", "q.word")
+    near = met.withColumn("edits", F.levenshtein("term", "word", FUZZY_EDITS)).where("edits >= 0")
+    similar = near.where(1 - F.col("edits") / F.greatest(F.char_length("term"), F.char_length("word")) >= FUZZY_SIMILARITY)
+    rank = F.row_number().over(Window.partitionBy("place").orderBy("edits", "term"))
+    return similar.withColumn("rank", rank).where(F.col("rank") <= FUZZY_TERMS).select("place", "term")
+
+
+def fuzzy_match(index: DataFrame, query: str, least: int = 1) -> DataFrame:
+    """(doc): exact matches if there are ``least`` of them, else the documents that hold,
+    for every query term, one of its near terms."""
+    wanted = [*dict.fromkeys([*query_terms(query), *query_pieces(query)])]
+    exact = match(index, query)
+    if not wanted or exact.limit(least).count() >= least:
+        return exact
+    # At most FUZZY_TERMS rows a query term.
+    met = index.join(F.broadcast(fuzzy_terms(index, wanted)), "term").select("doc", "place").distinct()
+    return met.groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("doc")
+
+
+def lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, n): how many Latin terms each document has."""
+    return docs.select(F.col(key).alias("doc"), F.size(terms(F.col(text))).alias("n"))
 
 
 def bm25(index: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
     """(doc, score) of the documents with any of the terms; ``lengths`` is (doc, n)."""
-    wanted = sorted(set(query_terms(query)))
+    wanted = sorted({*query_terms(query), *query_pieces(query)})
     own = index.where(F.col("term").isin(*wanted))
     df = own.groupBy("term").agg(F.count("*").alias("df"))  # one row a query term
     total = lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))

@@ -26,6 +26,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
+
+
 def write_shared(df: DataFrame, tag: str) -> DataFrame:
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import fts
 from tessera.operators import vector as V
+from tessera.operators.shared import exists, new_path, shared_folder
 from tessera.plans.declare import Catalogue, Tables
 
 C = Catalogue()
@@ -56,8 +58,18 @@ _TERMS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{
 _P = f"p AS (SELECT doc_id AS doc, unnest({_TERMS}) AS term, unnest(range(len({_TERMS}))) AS pos FROM documents)"
 
 
-def _index(t: Tables):
-    return fts.postings(t.documents, "doc_id", "text")
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def _index(t: Tables) -> DataFrame:
+    """The postings of documents, written once a session and dataset folder, whose tables
+    don't change; anew if the shared folder was cleared."""
+    own = t.spark.sparkContext.applicationId, shared_folder(t.spark), t.sf_dir
+    if own not in _INDEXES or not exists(t.spark, _INDEXES[own]):
+        path = new_path(t.spark, "postings")
+        fts.postings(t.documents, "doc_id", "text").write.parquet(path)
+        _INDEXES[own] = path
+    return t.spark.read.parquet(_INDEXES[own])
 
 
 C.query("fts_match", f"WITH {_P} SELECT doc FROM p WHERE term IN ('this', 'with', 'from') GROUP BY doc HAVING count(DISTINCT term) = 3")(lambda t: fts.match(_index(t), "This with FROM"))
@@ -76,8 +88,7 @@ C.query(
         SELECT tf.doc, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / mean))), 6) AS score FROM tf JOIN l ON tf.doc = l.doc JOIN d ON d.term = tf.term, s GROUP BY 1""",
 )
 def bm25(t: Tables):
-    lengths = t.documents.select(F.col("doc_id").alias("doc"), F.size(fts.terms(F.col("text"))).alias("n"))
-    return fts.bm25(_index(t), lengths, "this from").select("doc", F.round("score", 6).alias("score"))
+    return fts.bm25(_index(t), fts.lengths(t.documents, "doc_id", "text"), "this from").select("doc", F.round("score", 6).alias("score"))
 
 
 C.query("fts_stats", f"WITH {_P} SELECT count(DISTINCT term) AS terms, count(DISTINCT doc) AS docs, count(*) AS tokens FROM p")(lambda t: fts.stats(_index(t)))
