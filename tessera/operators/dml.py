@@ -39,13 +39,18 @@ def with_ids(df: DataFrame, *order: str, first: int = 1, name: str = "_id") -> D
     return out.withColumn(name, (F.col("_start") + F.col("_at") + first - 1).cast("long")).drop("_part", "_at", "_start")
 
 
-def insert(table: DataFrame, rows: DataFrame, defaults: Mapping[str, Column] | None = None) -> DataFrame:
-    """Rows appended by name; columns they lack take their default or NULL."""
+def shaped(table: DataFrame, rows: DataFrame, defaults: Mapping[str, Column] | None = None) -> DataFrame:
+    """Rows with the table's columns, by name; those they lack take their default or NULL."""
     for name, value in (defaults or {}).items():
         rows = rows.withColumn(name, F.coalesce(F.col(name), value) if name in rows.columns else value)
     for field in table.schema:
         rows = rows.withColumn(field.name, (F.col(field.name) if field.name in rows.columns else F.lit(None)).cast(field.dataType))
-    return table.union(rows.select(*table.columns))
+    return rows.select(*table.columns)
+
+
+def insert(table: DataFrame, rows: DataFrame, defaults: Mapping[str, Column] | None = None) -> DataFrame:
+    """Rows appended by name; columns they lack take their default or NULL."""
+    return table.union(shaped(table, rows, defaults))
 
 
 def overwrite_partition(table: DataFrame, rows: DataFrame, **partition: object) -> DataFrame:
@@ -72,8 +77,13 @@ def delete(table: DataFrame, where: Column) -> DataFrame:
 def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str], do_update: Mapping[str, str] | None = None) -> DataFrame:
     """INSERT ... ON CONFLICT (keys): DO NOTHING, or with ``do_update`` DO UPDATE SET
     column = a column of the new row.  NULL keys never conflict; of new rows that share
-    a key one is taken, so that a key stays unique."""
-    one = rows.where(F.expr(" AND ".join(f"{k} IS NOT NULL" for k in keys))).dropDuplicates(list(keys))
+    a key the greatest by their other columns, in order, is taken, whatever the run."""
+    others = [c for c in rows.columns if c not in keys]
+    known = rows.where(F.expr(" AND ".join(f"{k} IS NOT NULL" for k in keys)))
+    if others:
+        one = known.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_one")).select(*[F.col(c) if c in keys else F.col(f"_one.{c}") for c in rows.columns])
+    else:
+        one = known.distinct()
     nulls = rows.where(F.expr(" OR ".join(f"{k} IS NULL" for k in keys)))
     fresh = one.join(table.select(*keys), list(keys), "left_anti").unionByName(nulls, allowMissingColumns=True)
     if not do_update:

@@ -97,9 +97,10 @@ def closure(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int, how: str = "inner") -> DataFrame:
     """Equi-join in which each key's left rows go to ``salts`` partitions, the right
-    rows to all of them; for left sides with hot keys (inner, left, semi, anti)."""
+    rows to all of them; for left sides with hot keys (inner, left, semi, anti).  The salt
+    is a hash of the whole left row, the same when a lost task runs again."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
-    many = left.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int"))
+    many = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     each = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return many.join(each, [key, "_salt"], how).drop("_salt")

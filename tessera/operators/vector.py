@@ -6,13 +6,14 @@ than the query's, or a NULL one, gives NULL and is no neighbour.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are broadcast in one join; more go in blocks of so many.
-QUERY_BLOCK = 1000
+#: Queries of a block, and parts the rows go to for each of several blocks.
+QUERY_BLOCK, PARTS = 1000, 64
 
 
 def literal(query: Sequence[float]) -> Column:
@@ -87,28 +88,23 @@ def top_k(df: DataFrame, column: str, query: Sequence[float], k: int, metric: st
 def batch_top_k(df: DataFrame, column: str, key: str, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """(query_id, key, dist): the k nearest of each row of ``queries`` (query_id, query).
 
-    A stated query set against all rows: blocks of QUERY_BLOCK queries are held as one
-    array in each row's projection, so that a row is read once a block; the ranking
-    is cut map-side before the shuffle, and no pair leaves a task that isn't
-    among its best.
+    A stated query set against all rows.  The queries are grouped into blocks of about
+    QUERY_BLOCK by a hash of their id, on the executors.  One block is broadcast; more
+    meet the rows by an equi-join on block and part, PARTS parts to a block, so that no
+    task holds all rows of a block and the plan doesn't grow with the queries.
     """
-    spark, out = df.sparkSession, None
-    rows = queries.select("query_id", "query").orderBy("query_id").toLocalIterator()
-    block: list = []
-
-    def ranked(own: list) -> DataFrame:
-        held = F.broadcast(spark.createDataFrame([(own,)], "q array<struct<query_id:long,query:array<double>>>"))
-        met = df.select(key, column).join(held, F.lit(True)).select(key, column, F.explode("q").alias("q"))
-        met = met.select(F.col("q.query_id").alias("query_id"), key, METRICS[metric](F.col(column), F.col("q.query")).alias("dist")).where("dist IS NOT NULL")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", key))
-        return met.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
-
-    for r in rows:
-        block.append((r.query_id, [float(x) for x in r["query"]]))
-        if len(block) == QUERY_BLOCK:
-            part, block = ranked(block), []
-            out = part if out is None else out.union(part)
-    if block or out is None:
-        part = ranked(block)
-        out = part if out is None else out.union(part)
-    return out
+    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    held = queries.select(block.alias("_block"), F.struct("query_id", F.col("query").cast("array<double>").alias("query")).alias("_q"))
+    held = held.groupBy("_block").agg(F.collect_list("_q").alias("_queries"))
+    rows = df.select(key, column)
+    if blocks == 1:
+        met = rows.join(F.broadcast(held), F.lit(True))
+    else:
+        number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        part = F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+        met = rows.withColumn("_part", part).withColumn("_block", number(blocks)).join(held.withColumn("_part", number(PARTS)), ["_block", "_part"])
+    each = met.select(key, column, F.explode("_queries").alias("_q"))
+    each = each.select(F.col("_q.query_id").alias("query_id"), key, METRICS[metric](F.col(column), F.col("_q.query")).alias("dist")).where("dist IS NOT NULL")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", key))
+    return each.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")

@@ -6,11 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import LongType, StructField, StructType
+
 from tessera.operators.shared import new_path
 
 
 def tumbling_counts(spark: SparkSession, path: str, width: str, late: str = "10 minutes") -> DataFrame:
-    """(start, event_type, n, total) of all events at ``path`` (a file or a folder)."""
+    """(start, event_type, n, total) of all events at ``path`` (a file or a folder).  State of
+    windows behind the watermark is dropped; each batch writes the windows it changed,
+    and the last state of each counts."""
     schema = spark.read.parquet(path).schema
     name = path.rstrip("/").rsplit("/", 1)
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
@@ -24,11 +28,14 @@ def tumbling_counts(spark: SparkSession, path: str, width: str, late: str = "10
     out, state = new_path(spark, "stream"), new_path(spark, "stream-state")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        # A batch that is run again replaces its own files.
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = shaped.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query = shaped.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    last = F.max_by(F.struct("n", "total"), "batch").alias("last")
+    found = spark.read.schema(StructType([*shaped.schema, StructField("batch", LongType())])).parquet(out)
+    return found.groupBy("start", "event_type").agg(last).select("start", "event_type", "last.*")
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:
