@@ -30,3 +30,12 @@ def months_between(a: Column, b: Column) -> Column:
     """Whole months apart and a 31st of the days apart."""
     months = (F.year(a) - F.year(b)) * 12 + F.month(a) - F.month(b)
     return months + (F.day(a) - F.day(b)) / F.lit(31.0)
+
+
+def now() -> Column:
+    """The time the query began, one for all its rows."""
+    return F.current_timestamp()
+
+
+def current_date() -> Column:
+    return F.current_date()

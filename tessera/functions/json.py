@@ -31,8 +31,10 @@ def valid(c: Column) -> Column:
     return F.when(F.try_parse_json(c).isNotNull(), 1).otherwise(0)
 
 
-def array_length(c: Column) -> Column:
-    """0 for what is no array."""
+def array_length(c: Column, path: str = "$") -> Column:
+    """Of the array at ``path``; 0 for what is no array."""
+    if path != "$":
+        return F.when(c.isNotNull(), F.coalesce(F.json_array_length(F.get_json_object(c, path)), F.lit(0)))
     return F.when(c.isNotNull(), F.coalesce(F.json_array_length(c), F.lit(0)))
 
 

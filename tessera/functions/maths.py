@@ -33,3 +33,8 @@ def log(c: Column, base: float | None = None) -> Column:
 
 def sign(c: Column) -> Column:
     return F.signum(c).cast("int")
+
+
+def rand(seed: int | None = None) -> Column:
+    """Uniform in [0, 1), drawn anew for each row; with a seed the same for the same plan."""
+    return F.rand(seed)

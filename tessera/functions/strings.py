@@ -58,3 +58,8 @@ def glob(c: Column, pattern: str) -> Column:
     import re
 
     return c.rlike(".*".join(re.escape(p) for p in pattern.split("*")))
+
+
+def space(n: Column) -> Column:
+    """So many blanks; none below one."""
+    return F.repeat(F.lit(" "), F.greatest(n, F.lit(0)).cast("int"))

@@ -34,6 +34,17 @@ def multi_write(t: Tables):
     return dml.save(rows, "multi").select("part", "o_orderkey")
 
 
+@C.query("session_variable", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 150000")
+def session_variable(t: Tables):
+    """Set, read in SQL and reset."""
+    engine, name = Engine(t.spark), f"least_{uuid.uuid4().hex[:12]}"
+    engine.set_variable(name, 100000)
+    engine.set_variable(name, 150000)
+    found = dml.save(engine.execute(f"SELECT o_orderkey, o_totalprice FROM {{orders}} WHERE o_totalprice > {name}", orders=t.orders), "variable")
+    engine.reset_variable(name)
+    return found
+
+
 @C.query(
     "engine_script",
     """SELECT r_regionkey AS k, CASE WHEN r_regionkey = 1 THEN 'CHANGED' ELSE r_name END AS name FROM region WHERE r_regionkey <> 4 UNION ALL SELECT 10, 'NEW'""",

@@ -185,6 +185,26 @@ def json_change(t: Tables):
     return t.events.select("event_id", J.set_(p, "$.k", 1).alias("s"), J.insert(p, "$.new", "v").alias("i"), J.replace(p, "$.new", "v").alias("r"), J.remove(p, "$.k").alias("d"))
 
 
+C.query("strings_space", "SELECT p_partkey, p_brand || repeat(' ', CAST(p_size AS INT) % 4) || '|' AS padded FROM part")(
+    lambda t: t.part.select("p_partkey", F.concat("p_brand", strings.space(c("p_size") % 4), F.lit("|")).alias("padded"))
+)
+C.query("json_length_at_path", """SELECT o_orderkey, o_custkey % 3 AS n, 0 AS none FROM orders""")(
+    lambda t: t.orders.withColumn("j", F.to_json(F.struct(F.struct(F.slice(F.array(c("o_orderkey"), c("o_custkey")), F.lit(1), (c("o_custkey") % 3).cast("int")).alias("b")).alias("a"))))
+    .withColumn("j", F.when(c("o_custkey") % 3 < 2, c("j")).otherwise(F.lit('{"a":{"b":[1,[2,3]]}}')))
+    .select("o_orderkey", J.array_length(c("j"), "$.a.b").cast("long").alias("n"), J.array_length(c("j"), "$.a").alias("none"))
+)
+
+
+@C.query("random_and_now", "SELECT count(*) AS n, 0 AS out_of_range, true AS spread, 1 AS times, true AS day FROM orders")
+def random_and_now(t: Tables):
+    """What holds of values that differ by run."""
+    own = t.orders.select(maths.rand().alias("r"), dates.now().alias("at"), dates.current_date().alias("day"))
+    return own.agg(
+        F.count("*").alias("n"), F.count(F.when((c("r") < 0) | (c("r") >= 1), 1)).cast("int").alias("out_of_range"), (F.approx_count_distinct("r") > F.count("*") / 2).alias("spread"),
+        F.count_distinct("at").cast("int").alias("times"), F.bool_and(F.to_date("at") == c("day")).alias("day"),
+    )
+
+
 C.sql("hashes", "SELECT doc_id, md5(text) AS m, sha2(text, 256) AS s FROM {documents}", "SELECT doc_id, md5(text) AS m, sha256(text) AS s FROM documents")
 
 QUERIES, ORACLE = C.queries, C.oracle
