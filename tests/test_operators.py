@@ -97,12 +97,18 @@ def test_text_search(spark):
     found = lambda df: sorted(r.doc for r in df.collect())
     assert found(fts.match(index, "new york")) == [1, 2] and found(fts.match(index, '"new york"')) == [1]
     assert found(fts.match(index, "日本")) == [4] and found(fts.match(index, "absent")) == []
-    assert found(fts.fuzzy_match(index, "yorc")) == [1, 2]
+    assert found(fts.fuzzy_match(index, "yorc")) == [1, 2] and found(fts.fuzzy_match(index, "new yorc")) == [1, 2]
+    assert found(fts.fuzzy_match(index, "york new")) == [1, 2] and found(fts.fuzzy_match(index, "")) == []
+    for empty in ("", '""', '"x"', '"'):
+        assert found(fts.match(index, empty)) == []
+    own = fts.postings(spark.createDataFrame([(1, "日本語文章 end"), (2, "日本 語文")], "id long, t string"), "id", "t")
+    assert [found(fts.match(own, q)) for q in ("日", "日本", "日本語", "日本語文", "本語文章 end", "文章日")] == [[1, 2], [1, 2], [1], [1], [1], []]
+    assert found(fts.bm25(index, fts.lengths(docs, "id", "t"), "")) == [] and found(fts.match(index, '"is new"')) == [1]
 
 
 def test_changes(spark):
     t = spark.createDataFrame([(1, "a"), (2, None)], "k int, s string")
-    new = spark.createDataFrame([(2, "b"), (3, "c"), (None, "n"), (3, "c")], "k int, s string")
+    new = spark.createDataFrame([(2, "b"), (3, "c"), (None, "n"), (3, "a"), (3, "c")], "k int, s string")
     rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
     assert rows(dml.upsert(t, new, ["k"])) == sorted([(1, "a"), (2, None), (3, "c"), (None, "n")], key=repr)
     assert rows(dml.upsert(t, new, ["k"], {"s": "s"})) == sorted([(1, "a"), (2, "b"), (3, "c"), (None, "n")], key=repr)
