@@ -33,8 +33,10 @@ SAMPLE_BYTES = 4 << 20
 ROUNDS = 3
 #: Words of up to so many characters are scored together.
 SHORT = 40
+#: Characters of words that are scored at once.
+TOGETHER = 50_000
 #: Words whose scores a task remembers, and their characters.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 REMEMBERED_CHARACTERS = 8 << 20
 #: Added to each piece's expected count, and the share of a sign without a piece.
 PRIOR = 0.02
@@ -79,17 +81,49 @@ def pieces(path: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(known)}
 
 
-_STARTS: dict[int, tuple[dict, dict[str, int], int]] = {}
-
-
-def _starts(known: dict[str, int]) -> tuple[dict[str, int], int]:
-    """The pieces with their numbers, and -1 for what pieces only start with; the
-    longest piece's length."""
-    held = _STARTS.get(id(known))
+class _Walk:
+    """The pieces as a trie in arrays: from a state, a sign of ``points`` leads to the state
+    ``to`` of its key; ``piece`` is the number of the piece that a state spells, or -1."""
+
+    def __init__(self, known: dict[str, int]) -> None:
+        state = {"": 0}
+        for piece in known:
+            for n in range(1, len(piece) + 1):
+                state.setdefault(piece[:n], len(state))
+        self.points = np.unique(np.fromiter((ord(s[-1]) for s in state if s), np.uint32))
+        self.signs = len(self.points) + 1
+        found = [(state[s[:-1]], ord(s[-1]), k) for s, k in state.items() if s]
+        before, sign, to = (np.array(v, np.int64) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        keys = before * self.signs + np.searchsorted(self.points, sign)
+        order = np.argsort(keys)
+        # A last key that nothing has, so that there is always one to compare with.
+        self.keys, self.to = np.append(keys[order], -1), np.append(to[order], 0)
+        self.piece = np.array([known.get(s, -1) for s in state], np.int32)
+        self.longest = max(map(len, known), default=1)
+
+    def signs_of(self, words: list[str]) -> np.ndarray:
+        """For words of one length: the number of each sign, the last for one in no piece."""
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.searchsorted(self.points, points)
+        known = np.append(self.points, np.uint32(0xFFFFFFFF))[at] == points
+        at = np.where(known, at, self.signs - 1)
+        return at.reshape(len(words), -1)
+
+    def step(self, state: np.ndarray, sign: np.ndarray) -> np.ndarray:
+        """The state each of these leads to; -1 where there is none."""
+        key = state * self.signs + sign
+        at = np.searchsorted(self.keys[:-1], key)
+        return np.where(self.keys[at] == key, self.to[at], -1)
+
+
+_WALKS: dict[int, tuple[dict, _Walk]] = {}
+
+
+def _walk(known: dict[str, int]) -> _Walk:
+    held = _WALKS.get(id(known))
     if held is None or held[0] is not known:
-        starts = {p[:n]: -1 for p in known for n in range(1, len(p))} | known
-        held = _STARTS[id(known)] = known, starts, max(map(len, known), default=1)
-    return held[1:]
+        held = _WALKS[id(known)] = known, _Walk(known)
+    return held[1]
 
 
 def _by_length(words: list[str], known: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -99,31 +133,26 @@ def _by_length(words: list[str], known: dict[str, int]) -> Iterator[tuple[np.nda
     groups: dict[int, list[int]] = {}
     for k, w in enumerate(words):
         groups.setdefault(len(w), []).append(k)
-    starts, longest = _starts(known)
-    get, unknown = starts.get, len(known)
-    row = longest + 1
+    walk = _walk(known)
     for length, places in groups.items():
-        step = max(1, 100_000 // length)
+        step = max(1, TOGETHER // max(1, length))
         for at in range(0, len(places), step):
             part = places[at : at + step]
-            where, found = [], []
-            for i, k in enumerate(part):
-                w, base = words[k], i * (length + 1) * row
-                for start in range(length):
-                    at_end = base + (start + 1) * row + 1
-                    if get(w[start : start + 1], -1) < 0:
-                        where.append(at_end)
-                        found.append(unknown)
-                    for n in range(1, min(length - start, longest) + 1):
-                        piece = get(w[start : start + n])
-                        if piece is None:
-                            break
-                        if piece >= 0:
-                            where.append(at_end + (n - 1) * (row + 1))
-                            found.append(piece)
-            ids = np.full(len(part) * (length + 1) * row, -1, np.int32)
-            ids[where] = found
-            yield np.array(part), ids.reshape(len(part), length + 1, row)
+            ids = np.full((len(part), length + 1, walk.longest + 1), -1, np.int32)
+            ids[:, 1:, 1] = len(known)
+            sign = walk.signs_of([words[k] for k in part])
+            # All places at once, sign by sign, as long as some piece goes on.
+            word, start = (v.ravel() for v in np.indices((len(part), length)))
+            state = np.zeros(len(word), np.int64)
+            for n in range(1, min(length, walk.longest) + 1):
+                inside = start + n <= length
+                word, start, state = word[inside], start[inside], state[inside]
+                state = walk.step(state, sign[word, start + n - 1])
+                word, start, state = (v[state >= 0] for v in (word, start, state))
+                piece = walk.piece[state]
+                whole = piece >= 0
+                ids[word[whole], start[whole] + n, n] = piece[whole]
+            yield np.array(part), ids
 
 
 def _used(ids: np.ndarray) -> list[list[int]]:
@@ -183,7 +212,7 @@ def log_likelihoods(words: list[str], known: dict[str, int], p: np.ndarray) -> n
 
 def _long(word: str, known: dict[str, int], p: np.ndarray) -> np.ndarray:
     """The same for one word of any length, keeping the last sums only."""
-    longest = _starts(known)[1]
+    longest = _walk(known).longest
     sums, log = [np.ones(p.shape[1])], 0.0
     for end in range(1, len(word) + 1):
         total = np.zeros(p.shape[1])
